@@ -1,0 +1 @@
+"""Nothing streams here: every operator of this engine works on bounded input."""

@@ -1,4 +1,316 @@
 """Queries of the divide-and-conquer operators, by name, and DuckDB SQL for each."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from coppice.functions import stats
+from coppice.operators import balance, loops, ranges, workloads
+from coppice.operators.problem import Body, Problem
+from coppice.plans import frontier, tune
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+@query("SELECT sum(l_quantity) AS total, min(l_quantity) AS least, max(l_quantity) AS most, count(*) AS n FROM lineitem")
+def pfor_reduce_sum(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").agg(F.sum("l_quantity").alias("total"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT sum(i * i) AS value FROM range(10000) t(i)")
+def pfor_reduce_index(spark, sf_dir):
+    return loops.pfor_reduce(spark, 0, 10000, 16, lambda i: i * i).select(F.col("value").cast("decimal(38,0)").alias("value"))
+
+
+@query("SELECT i::BIGINT AS i, (2 * i + 1)::BIGINT AS y FROM range(5, 1000) t(i)")
+def pfor_index(spark, sf_dir):
+    return loops.pfor(spark, 5, 1000, 7, y=lambda i: i * 2 + 1)
+
+
+@query("SELECT chunk::INTEGER AS chunk, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey) AS chunk FROM orders) GROUP BY chunk")
+def range_chunks_exclusive(spark, sf_dir):
+    placed = balance.block_distribution(_read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", parts=7)
+    return placed.groupBy(F.col("rank").alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+
+
+@query("SELECT proc::INTEGER AS proc, task::INTEGER AS task, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM (SELECT *, ntile(5) OVER (PARTITION BY proc ORDER BY o_orderkey) AS task FROM (SELECT o_orderkey, ntile(3) OVER (ORDER BY o_orderkey) AS proc FROM orders)) GROUP BY ALL")
+def range_chunks_two_level(spark, sf_dir):
+    placed = balance.block_distribution(_read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", parts=3)
+    blocks = placed.groupBy("rank").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("size"))
+    out = placed.join(F.broadcast(blocks), "rank").withColumn("task", ranges.chunk_of(F.col("pos") - F.col("start"), F.col("size"), 5))
+    return out.groupBy(F.col("rank").alias("proc"), "task").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
+
+
+@query("WITH RECURSIVE t(s, e) AS (SELECT 0, 1000 UNION ALL SELECT s + i * ((e - s) // 3) + least(i, (e - s) % 3), s + (i + 1) * ((e - s) // 3) + least(i + 1, (e - s) % 3) FROM t, range(3) r(i) WHERE e - s >= 3) SELECT s::BIGINT AS start, e::BIGINT AS \"end\" FROM t WHERE e - s < 3")
+def srange_leaves(spark, sf_dir):
+    root = spark.createDataFrame([(0, 1000)], "start long, end long")
+    return frontier.Decomposition(ranges.nested_split(3), root).leaves().select("start", "end")
+
+
+@query("SELECT (1023 * 1024 / 2)::BIGINT AS total, 1024::BIGINT AS leaves")
+def range_midpoint_sum(spark, sf_dir):
+    body = Body({"total": lambda: F.col("start"), "leaves": lambda: F.lit(1)}, {"total": F.sum, "leaves": F.sum})
+    out = frontier.fold(spark.createDataFrame([(0, 1023)], "start long, end long"), ranges.midpoint_split(), body)
+    return out.select("total", F.col("leaves").cast("long").alias("leaves"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity + 2 * l_extendedprice AS v FROM lineitem")
+def pfor_map(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") + 2 * F.col("l_extendedprice")).alias("v"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers, round(max(o_totalprice), 4) AS most FROM orders")
+def reduce_struct(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders")
+    return o.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"), F.round(F.max("o_totalprice"), 4).alias("most"))
+
+
+@query("SELECT label, (i - 1)::INTEGER AS pos, round(sum(x::DOUBLE), 4) AS total FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL")
+def reduce_vector(spark, sf_dir):
+    return loops.reduce_vectors(_read(spark, sf_dir, "embeddings"), "embedding", "label").withColumn("total", F.round("total", 4))
+
+
+_POINT = "SELECT vec_id AS id, (1 + label)::DOUBLE AS mass, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py, embedding[3]::DOUBLE AS pz FROM embeddings"
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    axes = [F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate(("px", "py", "pz"))]
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") + 1).cast("double").alias("mass"), *axes)
+
+
+@query(f"SELECT min(px) AS min_px, max(px) AS max_px, min(py) AS min_py, max(py) AS max_py, min(pz) AS min_pz, max(pz) AS max_pz FROM ({_POINT})")
+def bbox_minmax(spark, sf_dir):
+    return workloads.bounding_box(_bodies(spark, sf_dir), "px", "py", "pz")
+
+
+@query(f"WITH b AS ({_POINT}), l AS (SELECT min(px) AS x0, min(py) AS y0, min(pz) AS z0, greatest(max(px) - min(px), max(py) - min(py), max(pz) - min(pz), 1e-12) * (1 + 1e-9) AS side FROM b), o AS (SELECT mass, px, py, pz, ((floor((px - x0) / side * 2)::BIGINT % 2) * 4 + (floor((py - y0) / side * 2)::BIGINT % 2) * 2 + floor((pz - z0) / side * 2)::BIGINT % 2)::VARCHAR AS path FROM b, l) SELECT path, round(sum(mass), 4) AS mass, round(sum(mass * px) / sum(mass), 6) AS px, round(sum(mass * py) / sum(mass), 6) AS py, round(sum(mass * pz) / sum(mass), 6) AS pz, count(*) AS n FROM o GROUP BY path")
+def center_of_mass(spark, sf_dir):
+    cells = workloads.octants(_bodies(spark, sf_dir), 1).where("path <> ''")
+    return cells.select("path", F.round("mass", 4).alias("mass"), *(F.round(a, 6).alias(a) for a in ("px", "py", "pz")), "n")
+
+
+@query()
+def barnes_hut_forces(spark, sf_dir):
+    return workloads.accelerations(_bodies(spark, sf_dir))
+
+
+@query("WITH RECURSIVE f(k, a, b) AS (SELECT 0, 0::BIGINT, 1::BIGINT UNION ALL SELECT k + 1, b, a + b FROM f WHERE k < 46) SELECT a AS fib FROM f WHERE k = 46")
+def fib_tree(spark, sf_dir):
+    return workloads.fibonacci(spark, 46)
+
+
+_QUEENS = "WITH RECURSIVE q(b) AS (SELECT []::INTEGER[] UNION ALL SELECT list_append(b, i::INTEGER) FROM q, range({n}) r(i) WHERE len(b) < {n} AND NOT list_bool_or(list_append(list_transform(b, lambda v, j: v = i OR abs(v - i) = len(b) - j + 1), false))) "
+
+
+@query(_QUEENS.format(n=8) + "SELECT count(*) FILTER (len(b) = 8) AS solutions, count(*) AS nodes FROM q")
+def nqueens_8(spark, sf_dir):
+    return workloads.queens(spark, 8)
+
+
+@query(_QUEENS.format(n=6) + "SELECT list_aggregate(b, 'string_agg', ',') AS board FROM q WHERE len(b) = 6")
+def nqueens_6_boards(spark, sf_dir):
+    return workloads.queen_boards(spark, 6)
+
+
+@query("SELECT 2047::BIGINT AS total")
+def tree_add(spark, sf_dir):
+    return workloads.tree_add(spark, 11)
+
+
+@query("WITH RECURSIVE t(k, node, v) AS (SELECT o_orderkey + 1, o_orderkey + 1, o_totalprice FROM orders UNION ALL SELECT k, node // 2, v FROM t WHERE node > 1) SELECT node AS node, round(sum(v), 2) AS total, count(*) AS n FROM t WHERE node < 64 GROUP BY node")
+def tree_add_heap(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("k"), F.col("o_totalprice").cast("decimal(18,4)").alias("v"))
+    depth = F.floor(F.log2(F.col("k"))).cast("int")
+    up = o.withColumn("node", F.expr("shiftright(k, greatest(0, cast(floor(log2(k)) as int) - 5))")).groupBy("node").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    del depth
+    every = up.withColumn("node", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.log2("node")).cast("int")), lambda i: F.floor(F.col("node") / F.pow(F.lit(2.0), i)).cast("long"))))
+    return every.groupBy("node").agg(F.round(F.sum("v").cast("double"), 2).alias("total"), F.sum("n").alias("n"))
+
+
+@query("SELECT r_name AS region, n_name AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
+def hierarchy_rollup(spark, sf_dir):
+    c, n, r = (_read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    by = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,4)")).alias("total"))
+    named = by.join(n, by["c_nationkey"] == n["n_nationkey"]).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    out = named.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("nation"))
+    return out.agg(F.sum("n").alias("n"), F.round(F.sum("total").cast("double"), 2).alias("total"))
+
+
+@query("WITH i AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS k, (10 + 7 * r_regionkey % 11)::BIGINT AS v, (3 + 5 * r_regionkey % 7)::BIGINT AS w FROM region), s AS (SELECT unnest(range(32)) AS mask), t AS (SELECT mask, sum(v) AS v, sum(w) AS w FROM s, i WHERE (mask >> k) & 1 = 1 GROUP BY mask) SELECT max(v)::BIGINT AS best FROM t WHERE w <= 15")
+def knapsack_items(spark, sf_dir):
+    r = _read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), (10 + 7 * F.col("r_regionkey") % 11).alias("value"), (3 + 5 * F.col("r_regionkey") % 7).alias("weight"))
+    return workloads.knapsack(r, 15)
+
+
+def _pairs(spark, n: int) -> DataFrame:
+    return spark.createDataFrame([(i, i + 1) for i in range(1, n, 2)], "i int, j int")
+
+
+@query("SELECT 105::BIGINT * 24 AS orders")
+def topsorts_count(spark, sf_dir):
+    """Orders of eight nodes in four independent pairs: 8! / 2^4."""
+    return workloads.topological_orders(_pairs(spark, 8), 8)
+
+
+@query("SELECT (720 / 8)::BIGINT AS orders")
+def topsorts_search(spark, sf_dir):
+    return workloads.order_search(_pairs(spark, 6), 6)
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) - 1 AS pos FROM orders")
+def quicksort_desc(spark, sf_dir):
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return ranges.with_position(o, F.desc("o_totalprice"), F.desc("o_orderkey"))
+
+
+@query("WITH m AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x, vec_id FROM embeddings) SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(sum(a.x * b.x), 3) AS v FROM m a JOIN m b USING (vec_id) GROUP BY ALL")
+def matmul_embeddings(spark, sf_dir):
+    """The Gram matrix of the embeddings' columns: each row's outer product, summed; its size doesn't grow."""
+    e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.posexplode("embedding").alias("k", "x"))
+    m = e.select(F.col("vec_id").alias("i"), F.col("k").alias("j"), F.col("x").cast("double").alias("v"))
+    t = m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    return workloads.matrix_product(t, m).withColumn("v", F.round("v", 3))
+
+
+@query("WITH a AS (SELECT i, j, ((i * 7 + j * 3) % 11 - 5)::DOUBLE AS v, ((i * 5 + j) % 13 - 6)::DOUBLE AS w FROM range(16) x(i), range(16) y(j)) SELECT a.i AS i, b.j AS j, sum(a.v * b.w) AS v FROM a JOIN a b ON a.j = b.i GROUP BY ALL")
+def strassen_2level(spark, sf_dir):
+    g = spark.range(256).select(F.floor(F.col("id") / 16).alias("i"), (F.col("id") % 16).alias("j"))
+    a = g.withColumn("v", (F.col("i") * 7 + F.col("j") * 3) % 11 - 5)
+    b = g.withColumn("v", (F.col("i") * 5 + F.col("j")) % 13 - 6)
+    return workloads.strassen(a, b, 16, 2)
+
+
+@query("SELECT 3987::BIGINT AS nodes, 3232::BIGINT AS leaves, 5::BIGINT AS height")
+def uts_fixed(spark, sf_dir):
+    return workloads.unbalanced_tree(spark, 4.0, 5, 19)
+
+
+@query("SELECT 1732::BIGINT AS nodes, 1050::BIGINT AS leaves, 6::BIGINT AS height")
+def uts_linear(spark, sf_dir):
+    return workloads.unbalanced_tree(spark, 4.0, 6, 0, "linear")
+
+
+@query()
+def ep_small(spark, sf_dir):
+    return workloads.gaussian_pairs(spark, 16)
+
+
+@query()
+def tsp_tour(spark, sf_dir):
+    e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *(F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xy")))
+    return workloads.tsp(e)
+
+
+@query("SELECT 42::BIGINT AS area")
+def floorplan_small(spark, sf_dir):
+    """Three cells in a row and one below: the least area by hand is 6 x 7."""
+    return workloads.floorplan(spark, [([(2, 3), (3, 2)], 0, 0), ([(2, 2)], 1, 0), ([(5, 2)], 2, 0), ([(4, 4)], 0, 1)])
+
+
+@query("SELECT rank::INTEGER AS rank, count(*) AS n, sum(c_custkey)::BIGINT AS total FROM (SELECT c_custkey, ntile(6) OVER (ORDER BY c_custkey) AS rank FROM customer) GROUP BY rank")
+def block_distribution(spark, sf_dir):
+    placed = balance.block_distribution(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", parts=6)
+    return placed.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("total"))
+
+
+@query("WITH t AS (SELECT p_partkey, p_size::DOUBLE AS c, coalesce(sum(p_size::DOUBLE) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(p_size::DOUBLE) OVER () AS s FROM part) SELECT least(5, floor(b * 5 / s) + 1)::INTEGER AS rank, count(*) AS n, sum(c) AS cost FROM t GROUP BY 1")
+def balance_by_cost(spark, sf_dir):
+    p = _read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return balance.by_cost(p, F.col("p_size"), "p_partkey", parts=5).groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"))
+
+
+@query("SELECT round((max(n) - min(n)) / min(n)::DOUBLE, 6) AS imbalance FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey)")
+def imbalance(spark, sf_dir):
+    n = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return balance.imbalance(n).select(F.round("imbalance", 6).alias("imbalance"))
+
+
+@query("SELECT chunk::INTEGER AS chunk, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS keys FROM (SELECT c_custkey, ntile(4) OVER (ORDER BY c_custkey) AS chunk FROM customer) GROUP BY chunk")
+def scatter_gather_roundtrip(spark, sf_dir):
+    placed = balance.block_distribution(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", parts=4)
+    return loops.gather(placed, "c_custkey", "rank").select(F.col("rank").alias("chunk"), F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("keys"))
+
+
+@query("SELECT o_orderkey, -o_totalprice AS v FROM orders")
+def gather_input_negate(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").select("o_orderkey", (-F.col("o_totalprice")).alias("v"))
+
+
+@query("SELECT round(avg(p_retailprice), 4) AS mean, round(count(*) / sum(1 / p_retailprice), 4) AS harmonic, round(exp(avg(ln(p_retailprice))), 4) AS geometric, round(median(p_retailprice), 4) AS median FROM part")
+def stats_means(spark, sf_dir):
+    x = F.col("p_retailprice")
+    return _read(spark, sf_dir, "part").agg(*(F.round(f(x), 4).alias(k) for k, f in (("mean", stats.mean), ("harmonic", stats.harmonic_mean), ("geometric", stats.geometric_mean), ("median", stats.median))))
+
+
+_RUNS = "SELECT (l_quantity::INTEGER) AS chunk, l_extendedprice AS speed FROM lineitem"
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("chunk"), F.col("l_extendedprice").alias("speed"))
+
+
+@query(f"WITH s AS (SELECT chunk, avg(speed) AS s FROM ({_RUNS}) GROUP BY chunk) SELECT chunk, round(s / (SELECT max(s) FROM s) * 1000000)::BIGINT AS score FROM s")
+def chunk_scores(spark, sf_dir):
+    return tune.scores(_runs(spark, sf_dir))
+
+
+@query(f"WITH r AS (SELECT * FROM ({_RUNS}) WHERE chunk % 3 = 0), k AS (SELECT DISTINCT unnest([chunk - 1, chunk + 1]) AS chunk FROM r) SELECT chunk FROM k WHERE chunk BETWEEN 1 AND 40 AND chunk NOT IN (SELECT chunk FROM r)")
+def chunk_neighbors(spark, sf_dir):
+    r = _runs(spark, sf_dir).where("chunk % 3 = 0")
+    return tune.neighbours(r, r, 40)
+
+
+@query(f"WITH s AS (SELECT chunk, max(speed) AS s FROM ({_RUNS}) GROUP BY chunk) SELECT chunk, round(s / (SELECT max(s) FROM s) * 1000000)::BIGINT AS score FROM s ORDER BY score DESC, chunk LIMIT 5")
+def topk_report(spark, sf_dir):
+    return tune.report(tune.scores(_runs(spark, sf_dir), "max")).limit(5)
+
+
+@query("SELECT n_nationkey, n_name, (SELECT count(*) FROM customer) AS customers FROM nation")
+def broadcast_output(spark, sf_dir):
+    return loops.replicate_output(_read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), _read(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("customers")))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL")
+def distributed_output(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT max(n) AS most, min(n) AS least FROM (SELECT count(*) AS n FROM events GROUP BY event_type)")
+def user_post(spark, sf_dir):
+    partial = _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return loops.distributed_post(partial, lambda p: p.agg(F.max("n").alias("most"), F.min("n").alias("least")))
+
+
+@query("WITH RECURSIVE t(n) AS (SELECT 12 UNION ALL SELECT n - k FROM t, (VALUES (1), (2)) v(k) WHERE n >= 2) SELECT count(*) FILTER (n < 2) AS leaves, count(*) FILTER (n >= 2) AS inner_nodes FROM t")
+def nonbase_contrib(spark, sf_dir):
+    problem = Problem(("n",), lambda: F.col("n") < 2, lambda: F.array(*(F.struct((F.col("n") - k).alias("n")) for k in (1, 2))))
+    one, none = (lambda: F.lit(1)), (lambda: F.lit(0))
+    body = Body({"leaves": one, "inner_nodes": none}, {"leaves": F.sum, "inner_nodes": F.sum}, {"leaves": none, "inner_nodes": one})
+    out = frontier.fold(spark.createDataFrame([(12,)], "n int"), problem, body, collapse=True)
+    return out.select(*(F.col(c).cast("long").alias(c) for c in ("leaves", "inner_nodes")))
+
+
+@query("SELECT label, vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings")
+def ranged_problem(spark, sf_dir):
+    """Vectors with their place within their label's own range."""
+    e = _read(spark, sf_dir, "embeddings")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return e.select("label", "vec_id", F.round(norm, 4).alias("norm"), F.dense_rank().over(Window.partitionBy("label").orderBy("vec_id")).cast("long").alias("place"))
