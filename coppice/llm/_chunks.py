@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-CACHE = 400_000  # chunks kept at most; then the cache starts anew
+CACHE = 400_000  # entries of a generation; the one before it is kept too, so what is frequent stays
 _irregular = re.compile(r"\s | \s| \Z")
 
 
@@ -18,7 +18,7 @@ class ChunkCache(dict):
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def batch(self, texts: list[str]) -> list[bytes]:
         parts: list[list[str] | None] = []
@@ -30,9 +30,12 @@ class ChunkCache(dict):
                 parts.append([head, *(" " + w for w in tail)])
         missing = {w for p in parts if p is not None for w in p if w not in self}
         if len(self) + len(missing) > CACHE:
+            self.old = dict(self)
             self.clear()
             missing = {w for p in parts if p is not None for w in p}
-        names = list(missing)
+        old = self.old
+        self.update((w, old[w]) for w in missing if w in old)
+        names = [w for w in missing if w not in old]
         self.update(zip(names, self.encode(names)))
         whole = [t for t, p in zip(texts, parts) if p is None]
         rest = iter(self.encode(whole) if whole else [])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coppice.llm._arrow import limit_batches, schema
-from coppice.llm._chunks import ChunkCache
+from coppice.llm._chunks import CACHE, ChunkCache
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 
@@ -79,7 +79,9 @@ class PerfectHash:
 
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> None:
-        self.hash, self.pattern = PerfectHash(ranks), pattern
+        self.hash, self.pattern, self.ranks = PerfectHash(ranks), pattern, ranks
+        self.merged: dict[str, bytes] = {}  # pre-tokens met before: a generation of at most CACHE, and the one before
+        self.old: dict[str, bytes] = {}
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.bytes_of[i] = token
@@ -87,17 +89,15 @@ class Bpe:
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of a pre-token that is not itself in the vocabulary."""
-        get, n = self.hash.get, len(token)
+        get, n = self.ranks.get, len(token)
         end = list(range(1, n + 1))  # a live part starts at i and ends at end[i]; links go by these
         before = list(range(-1, n))
         live = [True] * n
-        heap = []
-        for i in range(n - 1):
-            if (r := get(token[i : i + 2])) is not None:
-                heap.append((r, i, i + 2))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(token[i : i + 2])) is not None]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, to = heapq.heappop(heap)
+            _, i, to = pop(heap)
             mid = end[i]
             if not live[i] or mid >= n or end[mid] != to:
                 continue  # one of the two parts has changed since
@@ -105,9 +105,9 @@ class Bpe:
             if to < n:
                 before[to] = i
                 if (r := get(token[i : end[to]])) is not None:
-                    heapq.heappush(heap, (r, i, end[to]))
+                    push(heap, (r, i, end[to]))
             if (p := before[i]) >= 0 and (r := get(token[p:to])) is not None:
-                heapq.heappush(heap, (r, p, to))
+                push(heap, (r, p, to))
         out, i = [], 0
         while i < n:
             out.append(get(token[i : end[i]]))
@@ -117,21 +117,28 @@ class Bpe:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
         split = self._split = self._split or regex.compile(self.pattern)
-        get, out = self.hash.get, []
-        for t in texts:
-            ids: list[int] = []
-            for m in split.findall(t):
-                b = m.encode()
-                i = get(b)
-                ids.extend(self.merge(b) if i is None else (i,))
-            out.append(struct.pack(f"<{len(ids)}I", *ids))
-        return out
+        findall, merged = split.findall, self.merged
+        parts = [findall(t) for t in texts]
+        fresh = {m for p in parts for m in p if m not in merged}
+        if len(merged) + len(fresh) > CACHE:
+            self.old, self.merged = merged, (merged := {})
+            fresh = {m for p in parts for m in p}
+        get, old = self.hash.get, self.old
+        for m in fresh:
+            if m in old:
+                merged[m] = old[m]
+                continue
+            b = m.encode()
+            i = get(b)
+            ids = self.merge(b) if i is None else (i,)
+            merged[m] = struct.pack(f"<{len(ids)}I", *ids)
+        return [b"".join(map(merged.__getitem__, p)) for p in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_split": None}
+        return self.__dict__ | {"_split": None, "merged": {}, "old": {}}
 
 
 _caches: dict[str, ChunkCache] = {}
