@@ -6,7 +6,7 @@ treated as empty; rows with null ids are kept and count as separate documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm import packing, secrets, simhash, suffix_dedup, toxicity
@@ -35,11 +35,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return one.unionByName(marked.where("doc_id is null")).select(*docs.columns)
 
 
+def _whole_characters(text: Column) -> Column:
+    """`text` without bytes that form no character.  Replacement characters of its own are kept: they are escaped while
+    those that stand for such bytes are taken out."""
+    own, mark, one, two = (F.lit(x) for x in ("\ufffd", "\x01", "\x01\x02", "\x01\x03"))
+    valid = F.replace(F.make_valid_utf8(F.replace(F.replace(text, mark, one), own, two)), own, F.lit(""))
+    return F.replace(F.replace(valid, two, own), one, mark)
+
+
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by strings that start elsewhere too are cut out; what an edge leaves of a character goes as well."""
     kept = suffix_dedup.remove_repeats(docs)
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
-    return _length(kept.withColumn("text", F.when(F.col("n_removed") > 0, F.replace(text, F.lit("\ufffd"), F.lit(""))).otherwise(text)), docs)
+    text = F.col("kept").cast("string")
+    return _length(kept.withColumn("text", F.when(F.col("n_removed") > 0, _whole_characters(text)).otherwise(text)), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
