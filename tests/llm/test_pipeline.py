@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from coppice.llm import packing, secrets, simhash, suffix_dedup, toxicity
 from coppice.plans.lineage import cut
@@ -46,3 +48,14 @@ def test_whole_run_and_awkward_rows(spark, tmp_path):
     rows = cp.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == {0, 2, 3, 5} and len(rows) == 4
     assert packing.LENGTH == 2048 and simhash.RADIUS == 3
+
+
+def test_edges_of_cuts_leave_whole_characters(spark):
+    raw = [b"a\xe2\x82b", "\ufffd kept \x01\x02\x01\x03".encode() + b"\xc3", "\x01\ufffd".encode() * 3, b"\x82\xac", b"", "é…".encode()]
+    rows = spark.createDataFrame(list(enumerate(map(bytearray, raw))), "i int, b binary").select("i", cp._whole_characters(F.col("b").cast("string")).alias("t")).collect()
+    assert [r.t for r in sorted(rows)] == [b.decode(errors="ignore") for b in raw]
+    passage = prose(5, 60) + " \ufffd "
+    texts = [prose(1, 20) + " \ufffd é" + passage + "end", "\ufffd " + prose(2, 20) + passage, "\ufffd alone"]
+    kept = {r.doc_id: bytes(r.kept).decode(errors="ignore") for r in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
+    got = {r.doc_id: r.text for r in cp.drop_repeats(spark, frame(spark, texts), SF).collect()}
+    assert got == kept and all("\ufffd" in t for t in got.values()) and len(got[0]) < len(texts[0])
