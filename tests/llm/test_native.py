@@ -101,3 +101,42 @@ def test_spotsigs_query(spark):
     equal = spotsigs.fingerprint_documents(frame(spark, ["the b c d", "x", "the b c d"]))
     assert len({r.fingerprint for r in equal.collect()}) == 2
     assert spark.range(1).select(spotsigs.likeness(F.array(F.lit(1)), F.array(*map(F.lit, range(9))), 0.5)).first()[0] == 0
+
+
+def plain_classes(docs, anchors, at_least):
+    """docs: (id, text); Counter of (id, class id) by comparing all pairs of texts."""
+    sets = [plain_signatures(t or "", anchors) or ({t} if t else set()) for _, t in docs]
+    label = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and (a == b or (a and b and len(a & b) / len(a | b) >= at_least)):
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {x: min((i for (i, _), y in zip(docs, label) if y == x and i is not None), default=None) for x in label}
+    return Counter((i, least[x]) for (i, _), x in zip(docs, label))
+
+
+def test_spotsigs_near_classes(spark):
+    base = [prose(i, 60, 90).split() for i in range(6)]
+    texts = [None, "", "…", "of", "x y " * 3000, *(" ".join(b) for b in base)]
+    for k, b in enumerate(base):  # near copies, chains of them, and longer and shorter ones
+        for j in range(9):
+            edited = [*b[: len(b) - j * (k + 1)], *(f"the new{k}x{x}" for x in range(j))]
+            edited[j] = "changed"
+            texts.append(" the ".join(edited))
+    docs = list(enumerate(texts)) + [(None, texts[6]), (None, "no other has this"), (3, "of"), (3, " ".join(base[0]))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("class_id", F.lit("taken")).repartition(4)
+    anchors = set(spotsigs.common_words(rows))
+    for at_least in (0.3, 0.6, 0.8, 1.0):
+        got = spotsigs.near_classes(rows, at_least=at_least)
+        assert Counter((r.doc_id, r.class_id) for r in got.collect()) == plain_classes(docs, anchors, at_least), at_least
+    assert spotsigs.near_classes(spark.createDataFrame([], DOCS)).collect() == []
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_spotsigs_near_classes_of_a_table(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    anchors = set(spotsigs.common_words(rows))
+    got = Counter((r.doc_id, r.class_id) for r in spotsigs.near_classes(rows).collect())
+    assert got == plain_classes(docs, anchors, spotsigs.NEAR)
+    assert len({c for _, c in got}) < len(docs)
