@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -6,6 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from coppice.llm import quality, spotsigs
+from coppice.llm.graph import components
 from tests.llm.fixtures import DOCS, SF, frame, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -140,3 +142,31 @@ def test_spotsigs_near_classes_of_a_table(spark):
     got = Counter((r.doc_id, r.class_id) for r in spotsigs.near_classes(rows).collect())
     assert got == plain_classes(docs, anchors, spotsigs.NEAR)
     assert len({c for _, c in got}) < len(docs)
+
+
+def check_links(spark, sets, at_least):
+    label = {k: k for k in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if label[i] != label[j] and len(a & b) / len(a | b) >= at_least:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if x == high else x for k, x in label.items()}
+    rows = spark.createDataFrame([(k, len(v), sorted(v)) for k, v in sets.items()], "node long, n int, sigs array<int>")
+    got = {r.node: r.root for r in components(spotsigs._links(rows, at_least)).collect()}
+    assert {k: got.get(k, k) for k in sets} == label
+    return label
+
+
+def test_spotsigs_links_apart_from_the_lead(spark):
+    """Sets 1 and 2 are alike and meet only in lists led by set 0, which is like neither."""
+    common = {*range(4, 10), *range(21, 28)}
+    sets = {0: {1, 2, 3, *range(21, 28)}, 1: set(range(1, 11)), 2: {*range(1, 10), 11}}
+    sets |= {100 + k: common | set(range(1000 * (k + 1), 1000 * (k + 1) + 20)) for k in range(5)}
+    label = check_links(spark, sets, 0.8)
+    assert label[1] == label[2] == 1 and label[0] == 0
+
+
+def test_spotsigs_links_of_random_sets(spark):
+    r = random.Random(5)
+    distinct = {frozenset(r.sample(range(24), r.randint(1, 12))) for _ in range(120)}
+    assert len(set(check_links(spark, dict(enumerate(sorted(map(set, distinct), key=sorted))), 0.7).values())) > 10
