@@ -204,29 +204,81 @@ def octants(bodies: DataFrame, depth: int) -> DataFrame:
     return cells.groupBy("path").agg(F.sum("mass").alias("mass"), mean("px"), mean("py"), mean("pz"), F.count(F.lit(1)).alias("n"), F.min("id").alias("least_id")).withColumn("side", F.lit(side) / F.pow(F.lit(2.0), F.length("path")))
 
 
+HALVINGS = 48  # of a cube, as many as doubles tell places apart
+FEW = 50_000  # cells of a level that are broadcast, so no task gets all bodies of a common cell
+
+
+def _cubes(rest: DataFrame) -> DataFrame:
+    """`rest` with the cube of the bodies of each path: its side, and the bodies' places in it (0 to 1) as ux, uy, uz."""
+    axes = ("px", "py", "pz")
+    box = rest.groupBy("path").agg(*(f(a).alias(f"{k}_{a}") for a in axes for k, f in (("min", F.min), ("max", F.max))))
+    span = F.greatest(*(F.col(f"max_{a}") - F.col(f"min_{a}") for a in axes)) * (1 + 1e-9)
+    box = box.select("path", *(f"min_{a}" for a in axes), F.when(span == 0, 1.0).otherwise(span).alias("cube"))
+    places = (F.least((F.col(a) - F.col(f"min_{a}")) / F.col("cube"), F.lit(1 - 2.0**-53)).alias(f"u{a[1]}") for a in axes)
+    return cut(rest.select("path", "mass", *axes).join(box, "path").select("path", "mass", *axes, "cube", *places))
+
+
+def octree(bodies: DataFrame, step: int) -> DataFrame:
+    """(path, mass, px, py, pz, n, place, side): cells that hold bodies, halved until a cell's bodies are at one `place`.
+
+    A pass makes `step` levels, of the bodies whose cells aren't finished.  After HALVINGS levels the bodies of each cell
+    get a cube of their own; it parts at least two places, so passes end however close bodies are.  Bodies without
+    coordinates are in no cell."""
+    axes = ("px", "py", "pz")
+    rest = _cubes(bodies.select(F.lit("").alias("path"), F.col("mass").cast("double").alias("mass"), *(F.col(a).cast("double").alias(a) for a in axes)).dropna(subset=axes))
+    root = rest.select("cube").first()
+    if root is not None and not math.isfinite(root["cube"]):
+        raise ValueError("the bodies' coordinates must be finite, and so must their differences")
+    made: DataFrame | None = None
+    base = halved = 0
+    while True:
+        if halved == HALVINGS:
+            rest, halved = _cubes(rest), 0
+        levels_ = min(step, HALVINGS - halved)
+        digits = []
+        for d in range(halved + 1, halved + levels_ + 1):
+            bits = [F.floor(F.col(u) * float(1 << d)) % 2 for u in ("ux", "uy", "uz")]
+            digits.append((bits[0] * 4 + bits[1] * 2 + bits[2]).cast("string"))
+        rest = rest.withColumn("path", F.concat("path", *digits))
+        cells = rest.select(F.explode(F.sequence(F.lit(base + (base > 0)), F.lit(base + levels_))).alias("d"), "*").withColumn("path", F.expr("substring(path, 1, d)"))
+        one = F.lit(True)
+        for a in axes:
+            one = one & (F.min(a) == F.max(a))
+        mean = lambda a: F.when(one, F.min(a)).otherwise(F.sum(F.col("mass") * F.col(a)) / F.sum("mass")).alias(a)
+        side = F.min("cube") / F.pow(F.lit(2.0), F.length("path") - (base - halved))
+        cells = cut(cells.groupBy("path").agg(F.sum("mass").alias("mass"), *(mean(a) for a in axes), F.count(F.lit(1)).alias("n"), one.alias("place"), side.alias("side")))
+        made = cells if made is None else made.unionByName(cells)
+        base, halved = base + levels_, halved + levels_
+        open_ = cells.where((F.length("path") == base) & ~F.col("place")).select("path")
+        if open_.isEmpty():
+            return made
+        rest = cut(rest.join(open_, "path", "left_semi"))
+
+
 def accelerations(bodies: DataFrame, tol: float = 0.5, eps: float = 0.05, depth: int = 6) -> DataFrame:
     """(id, ax, ay, az) by the opening test: a cell far enough for its size acts as one body.
 
     The frontier holds (body, cell) pairs; each level joins the opened pairs with the cells' children, never bodies with
-    bodies."""
-    cells = cut(octants(bodies, depth))
-    kids = cells.where(F.length("path") > 0).withColumn("up", F.expr("substring(path, 1, length(path) - 1)"))
+    bodies.  Cells go down to single places, so near bodies always act one by one; bodies at the same place act as one,
+    and not on each other.  `depth` levels of cells are made in one pass."""
+    cells = octree(bodies, depth)
+    sizes = {r["level"]: r["n"] for r in cells.groupBy(F.length("path").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each level
     b = bodies.select("id", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
     root = cells.where("path = ''").first()
-    pairs = b if root is None else b.select("*", *(F.lit(root[c]).alias(c) for c in ("path", "mass", "px", "py", "pz", "n", "least_id", "side")))
+    pairs = b if root is None else b.select("*", *(F.lit(root[c]).alias(c) for c in ("path", "mass", "px", "py", "pz", "place", "side")))
     done = []
-    for level in range(depth + 1):
-        if root is None:
-            break
+    for level in sorted(sizes):
         d = [F.col(p) - F.col(q) for p, q in (("px", "x"), ("py", "y"), ("pz", "z"))]
         r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-        close = (F.col("side") / tol) ** 2 >= r2
-        opened = close & (F.col("n") > 1) if level < depth else F.lit(False)
+        opened = ((F.col("side") / tol) ** 2 >= r2) & ~F.col("place")
         phi = F.col("mass") * F.pow(r2 + eps * eps, F.lit(-1.5))
-        own = (F.col("n") == 1) & (F.col("least_id") == F.col("id"))
+        own = F.col("place") & (d[0] == 0) & (d[1] == 0) & (d[2] == 0)
         pairs = cut(pairs.withColumn("opened", opened))
         done.append(pairs.where(~F.col("opened") & ~own).select("id", *((phi * x).alias(k) for k, x in zip(("ax", "ay", "az"), d))).groupBy("id").agg(*(F.sum(k).alias(k) for k in ("ax", "ay", "az"))))
-        pairs = pairs.where("opened").select("id", "x", "y", "z", F.col("path").alias("up")).join(kids, "up").drop("up")
+        if level + 1 in sizes:
+            kids = cells.where(F.length("path") == level + 1).select(F.expr("substring(path, 1, length(path) - 1)").alias("up"), "path", "mass", "px", "py", "pz", "place", "side")
+            kids = F.broadcast(kids) if sizes[level + 1] <= FEW else kids
+            pairs = pairs.where("opened").select("id", "x", "y", "z", F.col("path").alias("up")).join(kids, "up").drop("up")
     parts = done[0] if done else b.select("id", *(F.lit(0.0).alias(k) for k in ("ax", "ay", "az")))
     for x in done[1:]:
         parts = parts.unionByName(x)

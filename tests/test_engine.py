@@ -57,6 +57,56 @@ def test_forces_equal_direct_sums_when_all_cells_open(spark):
     assert workloads.accelerations(bodies.limit(0)).collect() == []
 
 
+def plain_forces(p, m, tol, eps=0.05):
+    """Forces by an octree that is halved without a limit; bodies at one place form a leaf."""
+    low, side = p.min(axis=0), (p.max(axis=0) - p.min(axis=0)).max() * (1 + 1e-9)
+    out = np.zeros(p.shape)
+
+    def visit(cell, d, who):
+        place = (p[cell] == p[cell[0]]).all()
+        centre = p[cell[0]] if place else (m[cell, None] * p[cell]).sum(axis=0) / m[cell].sum()
+        x = centre - p[who]
+        r2 = (x**2).sum(axis=1)
+        opened = ((side / 2**d / tol) ** 2 >= r2) & (not place)
+        out[who[~opened]] += (m[cell].sum() * x / (r2 + eps**2)[:, None] ** 1.5)[~opened]
+        if opened.any():
+            octant = np.floor((p[cell] - low) / side * 2 ** (d + 1)).astype(int) % 2 @ [4, 2, 1]
+            for k in np.unique(octant):
+                visit(cell[octant == k], d + 1, who[opened])
+
+    visit(np.arange(len(p)), 0, np.arange(len(p)))
+    return out
+
+
+def direct_forces(p, m, eps=0.05):
+    d = p[None] - p[:, None]
+    return (m[None, :, None] * d / ((d**2).sum(axis=2) + eps**2)[..., None] ** 1.5).sum(axis=1)
+
+
+def forces(spark, p, m, **options):
+    bodies = spark.createDataFrame([(i, float(m[i]), *map(float, p[i])) for i in range(len(p))], "id long, mass double, px double, py double, pz double")
+    return np.array([(x.ax, x.ay, x.az) for x in workloads.accelerations(bodies, **options).orderBy("id").collect()])
+
+
+def far_off(got, want):
+    return np.linalg.norm(got - want, axis=1).max() / np.linalg.norm(want, axis=1).max()
+
+
+def test_forces_with_an_outlier_and_dense_places(spark):
+    r = np.random.default_rng(3)
+    p = np.concatenate([r.random((80, 3)), [[100.0] * 3], 0.3 + 1e-4 * r.random((40, 3)), [[0.7, 0.1, 0.2]] * 20])
+    m = r.random(len(p)) + 0.5
+    got = forces(spark, p, m)
+    assert far_off(got, plain_forces(p, m, 0.5)) < 1e-9 and far_off(got, direct_forces(p, m)) < 0.02
+
+
+def test_forces_of_places_that_the_whole_cube_cannot_part(spark):
+    r = np.random.default_rng(4)
+    p = np.concatenate([1e-12 * r.random((12, 3)), [[0.0] * 3] * 2, [[-1e6] * 3, [5e5] * 3]])
+    m = r.random(len(p)) + 0.5
+    assert far_off(forces(spark, p, m, tol=1e-9, eps=1e-13), direct_forces(p, m, 1e-13)) < 1e-9
+
+
 def test_tour_visits_each_point_once(spark):
     r = np.random.default_rng(2)
     p = r.random((120, 2))
