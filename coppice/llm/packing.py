@@ -15,6 +15,8 @@ empty table gives an empty result; other columns are not carried.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,19 +37,45 @@ LENGTH = 2048
 END = 0
 BUCKETS = 64
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json as ranks
+ADDED = "byte_bpe_50k.json"  # lists the added tokens, which the ranks lack
 
-_caches: dict[str, ChunkCache] = {}
+_caches: dict[tuple[str, str | None], ChunkCache] = {}
 
 
-def _tokenizer(path: str) -> ChunkCache:
+def added_tokens(path: str) -> dict[str, int]:
+    """Texts that a tokenizer's file gives an id of their own, wherever they stand."""
+    with open(path, encoding="utf-8") as f:
+        listed = json.load(f)["added_tokens"]
+    if any(t[k] for t in listed for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(re.search(r"\s", t["content"]) for t in listed):
+        raise ValueError(f"{path}: added tokens that hold white space or don't match as they stand")
+    return {t["content"]: t["id"] for t in listed}
+
+
+def _tokenizer(path: str, added: str | None) -> ChunkCache:
     """Ids as the tokenizers library gives them for the same vocabulary (tests compare the two); from ranks, chunks
-    that the cache lacks cost a fraction of that library's time for each call."""
-    if path not in _caches:
+    that the cache lacks cost a fraction of that library's time for each call.  Texts are split at the tokens that the
+    file `added` lists; without it these are text like any other."""
+    if (path, added) not in _caches:
         import tiktoken
 
         t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
-        _caches[path] = ChunkCache(lambda texts: [array("I", t.encode_ordinary(x)).tobytes() for x in texts])
-    return _caches[path]
+        own = added_tokens(added) if added else {}
+        split = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")").split
+
+        def encode(texts: list[str]) -> list[bytes]:
+            every = "\n".join(texts)
+            if not any(k in every for k in own):
+                return [array("I", t.encode_ordinary(x)).tobytes() for x in texts]
+            out = []
+            for x in texts:
+                ids = array("I")
+                for k, part in enumerate(split(x)):
+                    ids.extend([own[part]] if k % 2 else t.encode_ordinary(part))
+                out.append(ids.tobytes())
+            return out
+
+        _caches[path, added] = ChunkCache(encode)
+    return _caches[path, added]
 
 
 def cut_points(n: int, length: int) -> list[tuple[int, int]]:
@@ -59,14 +87,16 @@ def cut_points(n: int, length: int) -> list[tuple[int, int]]:
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """A row for each piece of each document; `ids` (little-endian unsigned 32-bit) is null unless asked for."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, keep_ids: bool = False, added: str | None = None) -> DataFrame:
+    """A row for each piece of each document; `ids` (little-endian unsigned 32-bit) is null unless asked for.
+
+    `added` names a file whose added tokens become their ids."""
     limit_batches(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
     end = int(END).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer = _tokenizer(path, added)
         for batch in batches:
             rows = []
             for id_, ids in zip(batch.column(0).to_pylist(), tokenizer.batch([t or "" for t in batch.column(1).to_pylist()])):
@@ -164,9 +194,9 @@ def pack(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     return parts.withColumn("rank", F.row_number().over(order)).mapInArrow(run, schema(_PLACED))
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    return pack(pieces(docs, id_col, text_col, length, path, keep_ids), length)
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, keep_ids: bool = False, added: str | None = None) -> DataFrame:
+    return pack(pieces(docs, id_col, text_col, length, path, keep_ids, added), length)
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), added=public_tokenizers.path(ADDED)).drop("ids")

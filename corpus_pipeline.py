@@ -6,6 +6,7 @@ treated as empty; rows with null ids are kept and count as separate documents.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their sequence and place."""
-    return packing.pack_documents(docs).drop("ids")
+    return packing.pack_documents(docs, added=public_tokenizers.path(packing.ADDED)).drop("ids")
 
 
 STAGES = [

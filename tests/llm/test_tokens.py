@@ -3,9 +3,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers as P
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from coppice.llm import bpe, packing
 from tests.llm.fixtures import DOCS, SF, frame, prose
 
@@ -116,3 +118,24 @@ def test_packing_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     used, least = verify(docs, packing.op8_best_fit_packing(spark, SF).collect())
     assert used <= least * 1.01 + 1
+
+
+def test_packing_takes_added_tokens_as_the_library_does_by_default(spark, tmp_path):
+    t, mark, r = Tokenizer.from_file(P.path("byte_bpe_50k.json")), "<|endoftext|>", random.Random(7)
+    texts = [f"a {mark} b", mark, f"x{mark}{mark}y  {mark}\n {mark} ", f"<|endoftext{mark}|>", f"a\t{mark} 's", mark * 3000, "<|endoftext", *ODD]
+    texts += ["".join(r.choice([mark, mark[:-1], " ", "\n", "ab", "'s", "é", " 12"]) for _ in range(r.randint(1, 25))) for _ in range(300)]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for d, x in enumerate(texts):
+        ids = t.encode(x or "", add_special_tokens=False).ids + [0]
+        assert d > 5 or 50256 in ids
+        for k, (s, n) in enumerate(packing.cut_points(len(ids), packing.LENGTH)):
+            want[d, k, s, n, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[s : s + n]))] += 1
+    for placed in (packing.op8_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, frame(spark, texts), SF)):
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in placed.collect()) == want
+
+
+def test_added_tokens_of_other_kinds_are_refused(tmp_path):
+    (tmp_path / "t.json").write_text('{"added_tokens": [{"id": 9, "content": "<x>", "single_word": false, "lstrip": true, "rstrip": false, "normalized": false}]}')
+    with pytest.raises(ValueError):
+        packing.added_tokens(str(tmp_path / "t.json"))
