@@ -206,14 +206,15 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(_verify, schema("a long, b long"))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """`docs` without its text, with `fp` (long) and `component_id` (the smallest id reachable over links)."""
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, root: bool = False) -> DataFrame:
+    """`docs` without its text, with `fp` (long) and `component_id` (the smallest id reachable over links).  Components
+    may share that id if ids repeat; `root` adds `root_fp`, a fingerprint that tells them apart."""
     fps = cut(fingerprints(docs, text_col, words))
     distinct = cut(fps.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     tree = components(links(distinct.select("fp")))
     joined = distinct.join(tree, distinct["fp"] == tree["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = joined.join(ids, "root").select("fp", "component_id")
+    named = joined.join(ids, "root").select("fp", "component_id", *([F.col("root").alias("root_fp")] if root else []))
     return fps.drop("component_id").join(named, "fp")
 
 

@@ -30,9 +30,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest id stays; repeated rows count once."""
     marked = docs.withColumn("__text_hash", F.xxhash64("text"))
-    groups = simhash.near_components(marked.select("doc_id", "text", "__text_hash"))
-    first = groups.where("doc_id = component_id").groupBy("doc_id", "fp").agg(F.min("__text_hash").alias("__text_hash"))
-    one = marked.join(first.select("doc_id", "__text_hash"), ["doc_id", "__text_hash"], "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+    groups = simhash.near_components(marked.select("doc_id", "text", "__text_hash"), root=True)
+    least = groups.where("doc_id = component_id").groupBy("root_fp").agg(F.min(F.struct("doc_id", "fp", "__text_hash")).alias("x"))
+    first = least.select("x.doc_id", "x.__text_hash")
+    one = marked.join(first, ["doc_id", "__text_hash"], "left_semi").dropDuplicates(["doc_id", "__text_hash"])
     return one.unionByName(marked.where("doc_id is null")).select(*docs.columns)
 
 

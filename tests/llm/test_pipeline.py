@@ -59,3 +59,15 @@ def test_edges_of_cuts_leave_whole_characters(spark):
     kept = {r.doc_id: bytes(r.kept).decode(errors="ignore") for r in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
     got = {r.doc_id: r.text for r in cp.drop_repeats(spark, frame(spark, texts), SF).collect()}
     assert got == kept and all("\ufffd" in t for t in got.values()) and len(got[0]) < len(texts[0])
+
+
+def test_repeated_ids_leave_one_row_of_each_group(spark):
+    words = prose(1, 600).split()
+    texts = [" ".join(words), *(" ".join([*words[:k], "zzz", *words[k + 1 :]]) for k in range(600))]
+    base = plain_fingerprint(texts[0])
+    near = [t for t in texts if 1 <= (plain_fingerprint(t) ^ base).bit_count() <= simhash.RADIUS][:3]
+    assert len({plain_fingerprint(t) for t in near} | {base}) > 1
+    other = prose(9, 80)  # another group, with the same smallest id
+    rows = [(1, texts[0]), *((1, t) for t in near), (1, other), (1, other), (2, other), (3, near[0])]
+    got = cp.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert len(got) == 2 and {r.doc_id for r in got} == {1} and sum(r.text == other for r in got) == 1
