@@ -6,38 +6,55 @@ non-blank characters.  Texts where a space touches other white space (or ends th
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 CACHE = 400_000  # entries of a generation; the one before it is kept too, so what is frequent stays
-_irregular = re.compile(r"\s | \s| \Z")
+LONGEST = 64  # characters of an entry: with CACHE it bounds the cache's bytes
 
 
-class ChunkCache(dict):
-    """chunk -> its ids as little-endian 32-bit bytes; `encode` takes a list of strings."""
+class _Irregular(Exception):
+    """A space touches other white space."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
+
+class Generations(dict):
+    """key -> value of `make(key)`, kept in two generations of at most CACHE short keys each."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class ChunkCache:
+    """Ids of texts as little-endian 32-bit bytes; `encode` gives those of one string."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        self.encode = encode
+        self.words = Generations(self._word)  # words that follow a space, without it
+
+    def _word(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Irregular
+        return self.encode(" " + word)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
+        get, out = self.words.__getitem__, []
         for t in texts:
-            if _irregular.search(t):
-                parts.append(None)
-            else:
-                head, *tail = t.split(" ")
-                parts.append([head, *(" " + w for w in tail)])
-        missing = {w for p in parts if p is not None for w in p if w not in self}
-        if len(self) + len(missing) > CACHE:
-            self.old = dict(self)
-            self.clear()
-            missing = {w for p in parts if p is not None for w in p}
-        old = self.old
-        self.update((w, old[w]) for w in missing if w in old)
-        names = [w for w in missing if w not in old]
-        self.update(zip(names, self.encode(names)))
-        whole = [t for t, p in zip(texts, parts) if p is None]
-        rest = iter(self.encode(whole) if whole else [])
-        get = self.__getitem__
-        return [next(rest) if p is None else b"".join(map(get, p)) for p in parts]
+            head, *tail = t.split(" ")
+            try:
+                if tail and head[-1:].isspace():
+                    raise _Irregular
+                out.append(b"".join([self.encode(head), *map(get, tail)]))
+            except _Irregular:
+                out.append(self.encode(t))
+        return out

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coppice.llm._arrow import limit_batches, schema
-from coppice.llm._chunks import CACHE, ChunkCache
+from coppice.llm._chunks import ChunkCache, Generations
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
 
@@ -80,12 +80,10 @@ class PerfectHash:
 class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> None:
         self.hash, self.pattern, self.ranks = PerfectHash(ranks), pattern, ranks
-        self.merged: dict[str, bytes] = {}  # pre-tokens met before: a generation of at most CACHE, and the one before
-        self.old: dict[str, bytes] = {}
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.bytes_of[i] = token
-        self._split = None
+        self._findall = self._met = None
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of a pre-token that is not itself in the vocabulary."""
@@ -114,31 +112,23 @@ class Bpe:
             i = end[i]
         return out
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit bytes."""
-        split = self._split = self._split or regex.compile(self.pattern)
-        findall, merged = split.findall, self.merged
-        parts = [findall(t) for t in texts]
-        fresh = {m for p in parts for m in p if m not in merged}
-        if len(merged) + len(fresh) > CACHE:
-            self.old, self.merged = merged, (merged := {})
-            fresh = {m for p in parts for m in p}
-        get, old = self.hash.get, self.old
-        for m in fresh:
-            if m in old:
-                merged[m] = old[m]
-                continue
-            b = m.encode()
-            i = get(b)
-            ids = self.merge(b) if i is None else (i,)
-            merged[m] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(merged.__getitem__, p)) for p in parts]
+    def look_up(self, token: str) -> bytes:
+        b = token.encode()
+        i = self.hash.get(b)
+        ids = self.merge(b) if i is None else (i,)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit bytes."""
+        if self._findall is None:
+            self._findall, self._met = regex.compile(self.pattern).findall, Generations(self.look_up)
+        return b"".join(map(self._met.__getitem__, self._findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_split": None, "merged": {}, "old": {}}
+        return self.__dict__ | {"_findall": None, "_met": None}
 
 
 _caches: dict[str, ChunkCache] = {}
@@ -157,7 +147,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model.value
-        cache = _caches.setdefault(key, ChunkCache(bpe.encode_all))  # kept while the worker lives
+        cache = _caches.setdefault(key, ChunkCache(bpe.encode))  # kept while the worker lives
         for batch in batches:
             ids = cache.batch([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.binary())], names=out.names)

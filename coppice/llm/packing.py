@@ -62,17 +62,13 @@ def _tokenizer(path: str, added: str | None) -> ChunkCache:
         own = added_tokens(added) if added else {}
         split = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")").split
 
-        def encode(texts: list[str]) -> list[bytes]:
-            every = "\n".join(texts)
-            if not any(k in every for k in own):
-                return [array("I", t.encode_ordinary(x)).tobytes() for x in texts]
-            out = []
-            for x in texts:
-                ids = array("I")
-                for k, part in enumerate(split(x)):
-                    ids.extend([own[part]] if k % 2 else t.encode_ordinary(part))
-                out.append(ids.tobytes())
-            return out
+        def encode(text: str) -> bytes:
+            if not any(k in text for k in own):
+                return array("I", t.encode_ordinary(text)).tobytes()
+            ids = array("I")
+            for k, part in enumerate(split(text)):
+                ids.extend([own[part]] if k % 2 else t.encode_ordinary(part))
+            return ids.tobytes()
 
         _caches[path, added] = ChunkCache(encode)
     return _caches[path, added]
