@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -15,6 +15,12 @@ def limit_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(ROWS, str(rows))
 
 
+def other_columns(df: DataFrame, *taken: str) -> list[str]:
+    """Columns of `df` whose names aren't those of `taken`; like Spark, without regard to case."""
+    names = {t.lower() for t in taken}
+    return [c for c in df.columns if c.lower() not in names]
+
+
 def long_hash(*cols: np.ndarray) -> np.ndarray:
     """A 64-bit mix of integer columns."""
     h = np.full(len(cols[0]), 0x2545F4914F6CDD1D, np.uint64)

@@ -9,16 +9,22 @@ offset, so two windows can be equal only if their anchors' grams are equal.
    grams with many contexts in a task are salted by context, so no gram's rows meet in one task.
 2. `_match` (after a shuffle of hashes only): drops grams that occur once, settles contexts that repeat, and leaves
    one row for each distinct context of the other grams.
-3. `_contexts` (joined to the texts): reports documents with nothing open; ships the context bytes of open anchors.
-   Grams with more than GROUP contexts are split by the hash of each window, an exact way that bounds every group.
+3. `_contexts` (joined to the texts): reports documents with nothing open; ships the context bytes of open anchors,
+   once each.  A gram with more than GROUP contexts is dealt by context into groups of about GROUP.
 4. `_sort_groups`: **deep-shallow sorting** of the contexts' suffixes, to the right of the anchor and (mirrored) to
    its left: multikey quicksort on eight-byte characters to SHALLOW bytes, then a blind trie for each group that
    still shares that prefix.  Neighbours' common-prefix lengths give the longest repeated window each way.
-5. The spans found go back to the open documents.
+   Groups that were dealt from one gram also give the digests (128 bits) of their windows: one for each distinct
+   window that could still widen a context's span.
+5. `_across`: a window whose digest two groups of one gram have repeats as well.  A digest has at most one row in each
+   group, however many contexts hold the window.
+6. The spans found go back to the open documents.
+
+Rows are told apart by a 128-bit digest of id and text, which any task can compute again.
 
 Defined cases: null text counts as empty; texts under SPAN bytes keep all; repeated rows (same id, same text) are
 copies of each other; rows that share an id but not a text are separate; null ids are kept; an empty table gives an
-empty result; other columns are passed through whatever their names.
+empty result; other columns are passed through whatever their names (names are compared as Spark does, without case).
 """
 
 from __future__ import annotations
@@ -33,14 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm._arrow import limit_batches, long_hash, schema
+from coppice.llm._arrow import limit_batches, long_hash, other_columns, schema
 from coppice.plans.lineage import cut
 
 SPAN = 200
 GRAM = 40
 SHALLOW = 32
-GROUP = 4096  # contexts sorted together at most
-BUFFER = 24 << 20  # bytes of text that a task holds while it looks for local repeats
+GROUP = 4096  # contexts of a gram that are sorted together, about
+BUFFER = 16 << 20  # bytes of text that a task holds while it looks for local repeats
+OUT = 4 << 20  # bytes of contexts and texts that go out together
 HOT = 32  # contexts of a gram within a task from which its rows are salted
 SALTS = 64
 _PIECE = 1 << 20
@@ -101,7 +108,7 @@ def anchor_positions(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return pos, np.concatenate(grams)[first]
 
 
-_MATCH = schema("__k long, __g long, __c1 long, __c2 long, __id long, __th int, __pos int, __end int, __kind byte")
+_MATCH = schema("__k long, __g long, __c1 long, __c2 long, __r1 long, __r2 long, __pos int, __end int, __kind byte")
 # kinds of rows between the first steps
 OPEN, MARK, SPANNED, SETTLED = 0, 1, 2, 3
 
@@ -125,26 +132,29 @@ def _runs(*cols: np.ndarray) -> np.ndarray:
     return new
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    size = 0
-    for batch in batches:
-        for id_, th, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if text is None or len(b := text.encode()) < SPAN:
-                continue
-            pos, g = anchor_positions(b)
-            reach = SPAN - GRAM
-            digest = b"".join([xxhash.xxh3_128_digest(b[max(0, p - reach) : p + SPAN], min(p, reach)) for p in pos.tolist()])
-            held.append((id_, th, len(b), pos, g, np.frombuffer(digest, "<i8").reshape(-1, 2)))
-            size += len(b)
-            if size >= BUFFER:
-                yield _settle(held)
-                held, size = [], 0
-    if held:
-        yield _settle(held)
-
-
-def _settle(held: list[tuple]) -> pa.RecordBatch:
+def _anchors(hot: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for r1, r2, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if text is None or len(b := text.encode()) < SPAN:
+                    continue
+                pos, g = anchor_positions(b)
+                reach = SPAN - GRAM
+                digest = b"".join([xxhash.xxh3_128_digest(b[max(0, p - reach) : p + SPAN], min(p, reach)) for p in pos.tolist()])
+                held.append((r1, r2, len(b), pos, g, np.frombuffer(digest, "<i8").reshape(-1, 2)))
+                size += len(b)
+                if size >= BUFFER:
+                    yield _settle(held, hot)
+                    held, size = [], 0
+        if held:
+            yield _settle(held, hot)
+
+    return run
+
+
+def _settle(held: list[tuple], least: int) -> pa.RecordBatch:
     """Rows for the shuffle: what repeats within the task is settled, each distinct context goes on once."""
     doc = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])
     pos, g = (np.concatenate([x[i] for x in held]) for i in (3, 4))
@@ -159,15 +169,14 @@ def _settle(held: list[tuple]) -> pa.RecordBatch:
     new_g = _runs(g)
     gram = np.cumsum(new_g) - 1
     contexts = np.bincount(gram, weights=new_c)
-    hot = contexts[gram] >= HOT
+    hot = contexts[gram] >= least
     key = np.where(hot, long_hash(g, c[:, 0] % SALTS + 1), g)
-    ids = pa.array([x[0] for x in held], pa.int64())
-    ths = pa.array([x[1] for x in held], pa.int32())
+    rows = [pa.array([x[i] for x in held], pa.int64()) for i in (0, 1)]
     out = []
 
     def add(k, gg, c1, c2, docs, at, end, kind) -> None:
         take = pa.array(docs, mask=docs < 0)
-        out.append([pa.array(k), pa.array(gg), pa.array(c1), pa.array(c2), ids.take(take), ths.take(take), pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.full(len(k), kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8))])
+        out.append([pa.array(k), pa.array(gg), pa.array(c1), pa.array(c2), *(r.take(take) for r in rows), pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.full(len(k), kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8))])
 
     add(key[new_c], g[new_c], c[new_c, 0], c[new_c, 1], doc[new_c], pos[new_c], length[doc[new_c]], np.where(full[new_c], SETTLED, OPEN) + np.where(hot[new_c], 4, 0))
     marks = g[new_g & hot]
@@ -182,7 +191,7 @@ def _settle(held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*out)], names=_MATCH.names)
 
 
-_FOUND = schema("__id long, __th int, __pos int, __end int, __g long, __kind byte")
+_FOUND = schema("__r1 long, __r2 long, __pos int, __end int, __g long, __kind byte, __salt int")
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +214,7 @@ def _matched(table: pa.Table) -> Iterator[pa.RecordBatch]:
     passed = table.filter(pa.array(kind == SPANNED))
     table = table.filter(pa.array(kind != SPANNED))
     kind = table.column("__kind").to_numpy()
-    parts = [[passed.column(x) for x in ("__id", "__th", "__pos", "__end", "__g")] + [pa.array(np.full(passed.num_rows, SPANNED, np.int8))]]
+    parts = [[passed.column(x) for x in ("__r1", "__r2", "__pos", "__end", "__g")] + [pa.array(np.full(passed.num_rows, SPANNED, np.int8)), pa.array(np.zeros(passed.num_rows, np.int32))]]
     if table.num_rows:
         k, g, c1, c2, pos, length = (table.column(x).to_numpy() for x in ("__k", "__g", "__c1", "__c2", "__pos", "__end"))
         known, mark, base = kind >= 4, kind == MARK, kind & 3
@@ -216,19 +225,20 @@ def _matched(table: pa.Table) -> Iterator[pa.RecordBatch]:
         several = (np.bincount(gram, weights=new_c)[gram] >= 2) | (np.bincount(gram, weights=known | mark)[gram] > 0)
         settle = full & (base == OPEN) & ~mark
         start, end = np.maximum(pos - (SPAN - GRAM), 0), np.minimum(pos + SPAN, length)
+        salt = np.where(known, c1 % SALTS, 0).astype(np.int32)
         for chosen, at, to, what in ((settle, start, end, SPANNED), (several & new_c & ~mark, pos, end, None)):
             i = pa.array(np.flatnonzero(chosen))
             what = np.where(full, SETTLED, OPEN)[chosen] if what is None else np.full(len(i), what)
-            parts.append([table.column("__id").take(i), table.column("__th").take(i), pa.array(at[chosen].astype(np.int32)), pa.array(to[chosen].astype(np.int32)), pa.array(g[chosen]), pa.array(what.astype(np.int8))])
+            parts.append([table.column("__r1").take(i), table.column("__r2").take(i), pa.array(at[chosen].astype(np.int32)), pa.array(to[chosen].astype(np.int32)), pa.array(g[chosen]), pa.array(what.astype(np.int8)), pa.array(salt[chosen])])
     yield from pa.concat_tables([pa.table(x, names=_FOUND.names) for x in parts]).combine_chunks().to_batches()
 
 
 class _Rows:
     """Builds the mixed rows of `_contexts`: contexts, open documents and finished ones."""
 
-    names = ["__g", "__sub", "__pos", "__left", "__open", "__blob", "__starts", "__ends", "__n_bytes", "__n_removed", "__n_spans", "__kept"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    ddl = "__g long, __sub int, __pos int, __left int, __open boolean, __blob binary, __starts array<int>, __ends array<int>, __n_bytes long, __n_removed long, __n_spans long, __kept binary"
+    names = ["__g", "__sub", "__split", "__pos", "__left", "__open", "__blob", "__starts", "__ends", "__n_bytes", "__n_removed", "__n_spans", "__kept"]
+    types = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    ddl = "__g long, __sub int, __split boolean, __pos int, __left int, __open boolean, __blob binary, __starts array<int>, __ends array<int>, __n_bytes long, __n_removed long, __n_spans long, __kept binary"
 
     def __init__(self) -> None:
         self.cols: list[list] = [[] for _ in self.names]
@@ -243,9 +253,9 @@ class _Rows:
             col.append(values.get(name[2:]))
         self.size += 100 + len(values.get("blob") or b"") + len(values.get("kept") or b"")
 
-    def batch(self, ids, ths, rest, names: list[str]) -> pa.RecordBatch:
+    def batch(self, r1, r2, rest, names: list[str]) -> pa.RecordBatch:
         row, doc = pa.array(self.row), pa.array([None if k == 0 else r for k, r in zip(self.kind, self.row)], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(self.kind, pa.int8()), ids.take(row), ths.take(row), rest.take(doc), *(pa.array(c, t) for c, t in zip(self.cols, self.types))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(self.kind, pa.int8()), r1.take(row), r2.take(row), rest.take(doc), *(pa.array(c, t) for c, t in zip(self.cols, self.types))], names=names)
 
 
 def _finish(text: bytes, starts: np.ndarray, ends: np.ndarray, digest: bool) -> dict:
@@ -254,10 +264,10 @@ def _finish(text: bytes, starts: np.ndarray, ends: np.ndarray, digest: bool) ->
     return {"n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(s), "kept": hashlib.sha256(kept).digest() if digest else kept}
 
 
-def _contexts(digest: bool, names: list[str]):
+def _contexts(digest: bool, names: list[str], group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ths, rest, texts, founds = (batch.column(i) for i in range(5))
+            r1, r2, rest, texts, founds = (batch.column(i) for i in range(5))
             out = _Rows()
             for i, found in enumerate(founds.to_pylist()):
                 text = (texts[i].as_py() or "").encode()
@@ -267,22 +277,21 @@ def _contexts(digest: bool, names: list[str]):
                 for x in found or ():
                     if x["kind"] == SPANNED:
                         continue
-                    pos, split = x["pos"], -(-x["m"] // GROUP)
+                    pos, split = x["pos"], -(-x["m"] // group)
                     left = min(pos, SPAN - GRAM)
                     blob = text[pos - left : pos + SPAN]
-                    subs = {0} if split == 1 else {xxhash.xxh3_64_intdigest(blob[j : j + SPAN]) % split for j in range(len(blob) - SPAN + 1)}
-                    for sub in subs:
-                        out.add(0, i, g=x["g"], sub=sub, pos=pos, left=left, open=x["kind"] == OPEN, blob=blob)
+                    sub = xxhash.xxh3_64_intdigest(blob, left) % split if split > 1 else 0
+                    out.add(0, i, g=x["g"], sub=sub, split=split > 1, pos=pos, left=left, open=x["kind"] == OPEN, blob=blob)
                     opened |= x["kind"] == OPEN
                 if opened:
                     out.add(1, i, blob=text, starts=starts.tolist(), ends=ends.tolist())
                 else:
                     out.add(2, i, **_finish(text, starts, ends, digest))
-                if out.size > BUFFER:
-                    yield out.batch(ids, ths, rest, names)
+                if out.size > OUT:
+                    yield out.batch(r1, r2, rest, names)
                     out = _Rows()
             if out.kind:
-                yield out.batch(ids, ths, rest, names)
+                yield out.batch(r1, r2, rest, names)
 
     return run
 
@@ -383,42 +392,53 @@ def deep_shallow(strings: list[bytes], group: np.ndarray, width: int) -> tuple[n
     return ranked, lcp
 
 
-def repeated_reach(blobs: list[bytes], left: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the windows through each context's anchor that another context of its group has too: the most and the
-    fewest bytes to the anchor's left (-1: none).  `group` is ascending."""
-    reach, n = SPAN - GRAM, len(blobs)
-    rights = [b[a + GRAM :] for b, a in zip(blobs, left.tolist())]
-    lefts = [b[a - 1 :: -1] if a else b"" for b, a in zip(blobs, left.tolist())]
-    sides = []
-    for strings in (lefts, rights):
-        ranked, lcp = deep_shallow(strings, group, reach)
-        sides.append((ranked, lcp, np.array([len(s) for s in strings])))
-    most, least = np.full(n, -1), np.full(n, -1)
-
-    def classes(side: int, length: int) -> np.ndarray:
-        ranked, lcp, _ = sides[side]
-        out = np.empty(n, np.int64)
+class _Sides:
+    """The contexts' suffixes to the left (mirrored) and right of their anchors, sorted within each group."""
+
+    def __init__(self, blobs: list[bytes], left: np.ndarray, group: np.ndarray) -> None:
+        self.n = len(blobs)
+        rights = [b[a + GRAM :] for b, a in zip(blobs, left.tolist())]
+        lefts = [b[a - 1 :: -1] if a else b"" for b, a in zip(blobs, left.tolist())]
+        self.sorted = [(*deep_shallow(x, group, SPAN - GRAM), np.array([len(y) for y in x])) for x in (lefts, rights)]
+
+    def _classes(self, side: int, length: int) -> np.ndarray:
+        ranked, lcp, _ = self.sorted[side]
+        out = np.empty(self.n, np.int64)
         out[ranked] = np.cumsum(lcp < length)
         return out
 
-    for i in range(reach + 1):
-        able = np.flatnonzero((sides[0][2] >= i) & (sides[1][2] >= reach - i))
-        if len(able) < 2:
-            continue
-        key = classes(0, i)[able] * (n + 1) + classes(1, reach - i)[able]
+    def windows(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows with `i` bytes to the anchor's left: the contexts that have one, whether another context of
+        the group has the same, and whether a context is the first with its window."""
+        able = np.flatnonzero((self.sorted[0][2] >= i) & (self.sorted[1][2] >= SPAN - GRAM - i))
+        key = self._classes(0, i)[able] * (self.n + 1) + self._classes(1, SPAN - GRAM - i)[able]
         order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
-        twice = np.zeros(len(able), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
-        hit = able[twice]
+        new = _runs(key[order])
+        first, several = np.empty(len(able), bool), np.empty(len(able), bool)
+        first[order] = new
+        run = np.cumsum(new) - 1
+        several[order] = np.bincount(run)[run] > 1 if len(run) else new
+        return able, several, first
+
+
+def repeated_reach(sides: _Sides) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows through each context's anchor that another context of its group has too: the most and the
+    fewest bytes to the anchor's left (-1: none)."""
+    most, least = np.full(sides.n, -1), np.full(sides.n, -1)
+    for i in range(SPAN - GRAM + 1):
+        able, several, _ = sides.windows(i)
+        hit = able[several]
         most[hit] = i
         least[hit] = np.where(least[hit] < 0, i, least[hit])
     return most, least
 
 
+_SPANS = schema("__r1 long, __r2 long, __start int, __end int, __w1 long, __w2 long, __alone boolean")
+
+
 def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of contexts sorted by gram and part: the repeated reach of each open one."""
+    """Of contexts sorted by gram and part: the repeated reach of each open one (rows without __w1), and the windows
+    of grams with several parts."""
     carry = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -435,16 +455,54 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sorted(table: pa.Table) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(_runs(table.column("__g").to_numpy(), table.column("__sub").to_numpy()))
-    many = np.bincount(group)[group] > 1
-    table, group = table.filter(pa.array(many)), group[many]
+    split = table.column("__split").to_numpy(zero_copy_only=False)
+    live = (np.bincount(group)[group] > 1) | split
+    table, group, split = table.filter(pa.array(live)), group[live], split[live]
     if not table.num_rows:
         return
-    most, least = repeated_reach(table.column("__blob").to_pylist(), table.column("__left").to_numpy().astype(np.int64), group)
-    hit = (most >= 0) & table.column("__open").to_numpy(zero_copy_only=False)
-    pos, i = table.column("__pos").to_numpy()[hit], pa.array(np.flatnonzero(hit))
-    start, end = pos - most[hit], pos - least[hit] + SPAN
-    columns = [table.column("__id").take(i), table.column("__th").take(i), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
-    yield from pa.table(columns, names=["__id", "__th", "__start", "__end"]).combine_chunks().to_batches()
+    blobs, left = table.column("__blob").to_pylist(), table.column("__left").to_numpy().astype(np.int64)
+    sides = _Sides(blobs, left, group)
+    most, least = repeated_reach(sides)
+    is_open, pos = table.column("__open").to_numpy(zero_copy_only=False), table.column("__pos").to_numpy()
+
+    def rows(at: np.ndarray, start: np.ndarray, end: np.ndarray, digests: np.ndarray | None, alone: np.ndarray) -> pa.RecordBatch:
+        i = pa.array(at)
+        w = [pa.nulls(len(at), pa.int64())] * 2 if digests is None else [pa.array(digests[:, k].copy()) for k in (0, 1)]
+        ids = [table.column(c).combine_chunks().take(i) for c in ("__r1", "__r2")]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), *w, pa.array(alone)], names=_SPANS.names)
+
+    hit = np.flatnonzero((most >= 0) & is_open)
+    yield rows(hit, pos[hit] - most[hit], pos[hit] - least[hit] + SPAN, None, np.ones(len(hit), bool))
+    for i in range(SPAN - GRAM + 1) if split.any() else ():
+        able, several, first = sides.windows(i)
+        wanted = split[able] & first  # one row for each distinct window, settled or not: other parts must hear of it
+        at, alone = able[wanted], (~several & is_open[able])[wanted]
+        digests = b"".join([xxhash.xxh3_128_digest(blobs[k][left[k] - i : left[k] - i + SPAN], i) for k in at.tolist()])
+        yield rows(at, pos[at] - i, pos[at] - i + SPAN, np.frombuffer(digests, "<i8").reshape(-1, 2), alone)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by digest: the spans of those whose digest others have too and that are alone with it in their
+    part."""
+    held = None  # the last row of the batch before, until it is known whether its digest goes on
+    met = False  # whether that row's digest had another row before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        new = _runs(table.column("__w1").to_numpy(), table.column("__w2").to_numpy())
+        same = ~new
+        same[0] |= met
+        same[:-1] |= ~new[1:]
+        held, met = table.slice(table.num_rows - 1).combine_chunks(), bool(same[-1])
+        yield from _alone(table.slice(0, table.num_rows - 1), same[:-1])
+    if held is not None:
+        yield from _alone(held, np.array([met]))
+
+
+def _alone(table: pa.Table, same: np.ndarray) -> Iterator[pa.RecordBatch]:
+    chosen = same & table.column("__alone").to_numpy(zero_copy_only=False)
+    yield from table.filter(pa.array(chosen)).select(["__r1", "__r2", "__start", "__end"]).combine_chunks().to_batches()
 
 
 def _close(digest: bool, names: list[str]):
@@ -462,36 +520,41 @@ def _close(digest: bool, names: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, group: int = GROUP, hot: int = HOT) -> DataFrame:
     """All columns of `docs` but the text, then n_bytes, n_removed, n_spans (long) and `kept`, the remaining bytes
     (binary; with `digest` their SHA-256).  Result columns replace input columns of the same names."""
     limit_batches(docs.sparkSession)
     results = ("n_bytes", "n_removed", "n_spans", "kept")
-    others = [c for c in docs.columns if c != text_col and c not in results]
-    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.hash(F.col(f"`{text_col}`")).alias("__th"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("__rest"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    others = other_columns(docs, text_col, *results)
+    text = F.col(f"`{text_col}`").cast("string")
+    marks = [F.xxhash64(text).alias("__r1"), F.xxhash64(F.lit(1), F.col(f"`{id_col}`").cast("string"), F.col(f"`{id_col}`").isNull(), text).alias("__r2")]
+    named = docs.select(*marks, F.struct(*(F.col(f"`{c}`") for c in others)).alias("__rest"), text.alias("__text"))
+    row = ["__r1", "__r2"]
 
     found = cut(
-        named.select("__id", "__th", "__text").where(F.octet_length("__text") >= SPAN).mapInArrow(_anchors, _MATCH)
+        named.select(*row, "__text").where(F.octet_length("__text") >= SPAN).mapInArrow(_anchors(hot), _MATCH)
         .repartition("__k").sortWithinPartitions("__k", "__g", "__c1", "__c2", "__kind").mapInArrow(_match, _FOUND)
     )
-    contexts = found.where(F.col("__kind") != SPANNED).groupBy("__g").agg(F.count(F.lit(1)).alias("__m"))
-    with_m = found.where(F.col("__kind") != SPANNED).join(contexts, "__g").where("__m > 1").unionByName(found.where(F.col("__kind") == SPANNED).withColumn("__m", F.lit(1).cast("long")))
-    by_doc = with_m.groupBy("__id", "__th").agg(F.collect_list(F.struct(F.col("__pos").alias("pos"), F.col("__end").alias("end"), F.col("__g").alias("g"), F.col("__kind").alias("kind"), F.col("__m").alias("m"))).alias("__found"))
-
-    def same(a: DataFrame, b: DataFrame):
-        return a["__id"].eqNullSafe(b["__id"]) & a["__th"].eqNullSafe(b["__th"])
+    several = found.where(F.col("__kind") != SPANNED)
+    contexts = several.groupBy("__g").agg(F.count(F.lit(1)).alias("__m"), F.max("__salt").alias("__most")).where("__m > 1")
+    # rows of common grams are salted, so that the count of a gram meets its rows in SALTS places
+    contexts = contexts.select("__g", "__m", F.explode(F.when(F.col("__most") > 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("__salt"))
+    spanned = found.where(F.col("__kind") == SPANNED).withColumn("__m", F.lit(1).cast("long"))
+    with_m = several.join(contexts, ["__g", "__salt"]).unionByName(spanned)
+    by_doc = with_m.groupBy(*row).agg(F.collect_list(F.struct(F.col("__pos").alias("pos"), F.col("__end").alias("end"), F.col("__g").alias("g"), F.col("__kind").alias("kind"), F.col("__m").alias("m"))).alias("__found"))
 
     rest_type = named.schema["__rest"].dataType
-    mixed = T.StructType([T.StructField("__kind", T.ByteType()), T.StructField("__id", T.LongType()), T.StructField("__th", T.IntegerType()), T.StructField("__rest", rest_type), *schema(_Rows.ddl)])
-    joined = named.join(by_doc, same(named, by_doc), "left").select(named["__id"], named["__th"], "__rest", "__text", "__found")
-    state = cut(joined.mapInArrow(_contexts(digest, mixed.names), mixed))
-
-    groups = state.where("__kind = 0").select("__g", "__sub", "__id", "__th", "__pos", "__left", "__open", "__blob")
-    spans = groups.repartition("__g", "__sub").sortWithinPartitions("__g", "__sub").mapInArrow(_sort_groups, "__id long, __th int, __start int, __end int")
-    spans = spans.groupBy("__id", "__th").agg(F.collect_list(F.struct(F.col("__start").alias("start"), F.col("__end").alias("end"))).alias("__more"))
-    opened = state.where("__kind = 1").select("__id", "__th", "__rest", "__blob", "__starts", "__ends")
+    mixed = T.StructType([T.StructField("__kind", T.ByteType()), *(T.StructField(c, T.LongType()) for c in row), T.StructField("__rest", rest_type), *schema(_Rows.ddl)])
+    state = cut(named.join(by_doc, row, "left").select(*row, "__rest", "__text", "__found").mapInArrow(_contexts(digest, mixed.names, group), mixed))
+
+    groups = state.where("__kind = 0").select("__g", "__sub", "__split", *row, "__pos", "__left", "__open", "__blob")
+    spans = cut(groups.repartition("__g", "__sub").sortWithinPartitions("__g", "__sub").mapInArrow(_sort_groups, _SPANS))
+    across = spans.where("__w1 is not null").repartition("__w1", "__w2").sortWithinPartitions("__w1", "__w2")
+    spans = spans.where("__w1 is null").select(*row, "__start", "__end").unionByName(across.mapInArrow(_across, schema("__r1 long, __r2 long, __start int, __end int")))
+    spans = spans.groupBy(*row).agg(F.collect_list(F.struct(F.col("__start").alias("start"), F.col("__end").alias("end"))).alias("__more"))
+    opened = state.where("__kind = 1").select(*row, "__rest", "__blob", "__starts", "__ends")
     closed_schema = T.StructType([T.StructField("__rest", rest_type), *schema("__n_bytes long, __n_removed long, __n_spans long, __kept binary")])
-    closed = opened.join(spans, same(opened, spans), "left").select("__rest", "__blob", "__starts", "__ends", "__more").mapInArrow(_close(digest, closed_schema.names), closed_schema)
+    closed = opened.join(spans, row, "left").select("__rest", "__blob", "__starts", "__ends", "__more").mapInArrow(_close(digest, closed_schema.names), closed_schema)
     done = state.where("__kind = 2").select(*closed_schema.names).unionByName(closed)
     return done.select(*(F.col("__rest").getField(c).alias(c) for c in others), *(F.col(f"__{c}").alias(c) for c in results))
 
