@@ -45,9 +45,10 @@ from coppice.plans.lineage import cut
 SPAN = 200
 GRAM = 40
 SHALLOW = 32
-GROUP = 4096  # contexts of a gram that are sorted together, about
+GROUP = 16384  # contexts of a gram that are sorted together, about: 6 MB of bytes
 BUFFER = 16 << 20  # bytes of text that a task holds while it looks for local repeats
 OUT = 4 << 20  # bytes of contexts and texts that go out together
+ROWS = 8192  # contexts that are sorted in one call, or those of one group
 HOT = 32  # contexts of a gram within a task from which its rows are salted
 SALTS = 64
 _PIECE = 1 << 20
@@ -443,7 +444,7 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         table = pa.Table.from_batches([batch])
         carry = table if carry is None else pa.concat_tables([carry, table])
-        if carry.num_rows < 2 * GROUP:
+        if carry.num_rows < ROWS:
             continue
         last = int(np.flatnonzero(_runs(carry.column("__g").to_numpy(), carry.column("__sub").to_numpy()))[-1])
         if last:
