@@ -1,12 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on toxic text, which holds the ordinary one's
-content too, so that the two differ only in what is toxic.  A text is cut into word-aligned windows of about WINDOW
-bytes; each is compressed with either dictionary, and the bytes that the toxic one saves say how close the window is to
-toxic text.  As only a few words of a toxic document are toxic, the toxic dictionary is trained on what toxic documents
-hold more often than ordinary ones do: words whose document counts differ with a significant likelihood ratio (RATIO).
-The windows' savings are condensed to a few numbers for each document and calibrated to a probability by logistic
-regression, on rows that trained no dictionary.
+A text is cut into windows of about WINDOW bytes, and each is compressed with zstandard dictionaries: one trained on
+windows of ordinary documents, and two trained on windows of toxic documents (each with the ordinary content behind it, so
+that only what is toxic tells them apart).  The bytes that both toxic dictionaries save against the ordinary one say how
+close a window is to toxic text.
+
+As most windows of a toxic document are ordinary, windows are labelled anew before the dictionaries are trained: toxic
+documents fall in two folds (near copies begin alike and share one), a first dictionary is trained on all windows of
+either fold, and a window of the other fold counts as toxic if that dictionary saves more on it than on the most telling
+windows of ordinary documents (quantile CLEAR), but not nearly all of it, as it would on a copy.  The two final
+dictionaries are trained on what either fold has left.
+
+A document's savings are condensed to a few numbers and calibrated to a probability by logistic regression, on rows that
+trained no dictionary.  All settings were chosen on rows that may be learnt from.
 
 The model is fitted on the driver from a bounded sample: at most SAMPLE labelled rows of each class whose texts have at
 most SAMPLE_BYTES bytes, in the order of a hash of the id.  Scoring covers every window of every whole text.
@@ -19,50 +25,65 @@ those named as a result is).
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm._arrow import limit_batches
+from coppice.llm._arrow import limit_batches, other_columns
 
 WINDOW = 64
 SAMPLE = 4000
 SAMPLE_BYTES = 8192
-RATIO = 40.0  # the most that a word must show; a tenth of the toxic training rows suffices below that
 DICTIONARY = 8192
-ORDINARY = 1 << 16
-CLEAR = 3  # bytes
+ORDINARY = 1 << 17
+SEGMENT = {DICTIONARY: 24, ORDINARY: 32}  # bytes that the trainer takes at a time
+CLEAR = 0.999
+COPY = 20  # bytes that only a copy saves
+START = 40  # characters by which near copies fall in one fold
+COMMON = 600  # ordinary documents that the savings of a fold are held against
 THRESHOLD = 0.3
-STRATEGY = zstandard.STRATEGY_LAZY2
+STRATEGY = zstandard.STRATEGY_BTULTRA
+HASH = 17
+CHAIN = 16  # bounds the search: newer content, which is ordinary, is met before toxic content that is ordinary too
 SEARCH = 6
-MATCH = 5
-SEGMENT = 16
+MATCH = 3
+_blank = re.compile(rb"[\x09-\x0d\x20]")
 
 
 def windows(text: str | None) -> list[bytes]:
-    """The whole text as runs of whole words of WINDOW bytes or more (a word is never cut; the last run is shorter)."""
+    """The whole text, lower-cased, as runs of WINDOW bytes or more that end before white space; a run without any ends
+    between characters after 2 * WINDOW bytes."""
     b = (text or "").encode().lower()
     out, at = [], 0
     while at < len(b):
-        end = b.find(b" ", at + WINDOW)
-        end = len(b) if end < 0 else end
+        end = min(at + 2 * WINDOW, len(b))
+        if len(b) - at > WINDOW:
+            space = _blank.search(b, at + WINDOW, end)
+            if space:
+                end = space.start()
+            while end < len(b) and b[end] & 0xC0 == 0x80:
+                end -= 1
         out.append(b[at:end])
         at = end
     return out
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary trained on `samples`; if they are too few to train on, the distinct ones themselves."""
-    distinct = b"".join(dict.fromkeys(samples))
-    if len(distinct) > size and len(samples) >= 200:
-        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=6, accel=1).as_bytes()
-    return distinct[-size:]
+    """A dictionary trained on the distinct `samples`; if they are too few to train on, these themselves."""
+    distinct = list(dict.fromkeys(samples))
+    if len(distinct) >= 100 and sum(map(len, distinct)) > 2 * size:
+        try:
+            return zstandard.train_dictionary(size, distinct, k=SEGMENT[size], d=6, accel=1).as_bytes()
+        except zstandard.ZstdError:  # the trainer found too little in them
+            pass
+    return b"".join(distinct)[-size:]
 
 
 class Sizes:
@@ -75,7 +96,7 @@ class Sizes:
     def __call__(self, parts: list[bytes]) -> np.ndarray:
         if self._compressor is None:
             d = zstandard.ZstdCompressionDict(self.content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            how = zstandard.ZstdCompressionParameters(window_log=18, hash_log=16, chain_log=16, search_log=SEARCH, min_match=MATCH, strategy=STRATEGY, write_content_size=0, write_dict_id=0, write_checksum=0)
+            how = zstandard.ZstdCompressionParameters(window_log=20, hash_log=HASH, chain_log=CHAIN, search_log=SEARCH, min_match=MATCH, strategy=STRATEGY, write_content_size=0, write_dict_id=0, write_checksum=0)
             d.precompute_compress(compression_params=how)
             self._compressor = zstandard.ZstdCompressor(dict_data=d, compression_params=how)
         compress = self._compressor.compress
@@ -85,48 +106,46 @@ class Sizes:
         return {"content": self.content, "_compressor": None}
 
 
-def features(savings: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def features(savings: np.ndarray) -> np.ndarray:
     """What calibration sees of a document: its best windows, the share of windows with a clear saving, its length."""
     if not len(savings):
         return np.zeros(5)
-    best = np.minimum(np.sort(savings)[::-1], 3 * CLEAR)
+    best = np.minimum(np.sort(savings)[::-1], 9)
     second, third = (float(best[k]) if len(best) > k else 0.0 for k in (1, 2))
-    return np.array([best[0], second, third, np.sqrt((savings >= CLEAR).mean()), np.log1p(len(savings))])
+    return np.array([best[0], second, third, np.sqrt((savings >= 3).mean()), np.log1p(len(savings))])
 
 
 class Model:
-    def __init__(self, toxic: Sizes | None, ordinary: Sizes | None, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> None:
+    def __init__(self, toxic: list[Sizes], ordinary: Sizes | None, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> None:
         self.toxic, self.ordinary, self.weights, self.mean, self.scale = toxic, ordinary, weights, mean, scale
 
+    def savings(self, parts: list[bytes]) -> np.ndarray:
+        """Bytes that every toxic dictionary saves on each window."""
+        return self.ordinary(parts) - np.max([t(parts) for t in self.toxic], axis=0)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.toxic is None:
+        if self.ordinary is None:
             return np.full(len(texts), 1 / (1 + np.exp(-self.weights[-1])))
-        x = np.array([features(*_savings(self.toxic, self.ordinary, windows(t))) for t in texts]).reshape(-1, len(self.mean))
+        x = np.array([features(self.savings(windows(t))) for t in texts]).reshape(-1, len(self.mean))
         return 1 / (1 + np.exp(-np.clip(((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def _words(texts: list[str | None], chosen: np.ndarray) -> Counter:
-    """Words of the chosen texts, with the spaces around them, and in how many of these texts each stands."""
-    return Counter(b" %b " % w for k in np.flatnonzero(chosen).tolist() for w in set((texts[k] or "").encode().lower().split()))
+def _fold(text: str | None) -> int:
+    return xxhash.xxh64_intdigest((text or "")[:START]) % 2
 
 
-def _contrast(bad: Counter, good: Counter, n_bad: int, n_good: int) -> list[bytes]:
-    """Training samples of the toxic dictionary: words that toxic texts hold significantly more often, as often as they
-    do, the most telling last."""
-    found = []
-    for w, a in bad.items():
-        b = good.get(w, 0)
-        if a < 2 or a * n_good <= 2 * b * n_bad:
-            continue
-        p = (a + b) / (n_bad + n_good)
-        ratio = 2 * (a * np.log(a / (n_bad * p)) + (b * np.log(b / (n_good * p)) if b else 0.0))
-        if ratio >= max(10.0, min(RATIO, n_bad / 10)):
-            found.append((ratio, w))
-    return [w for _, w in sorted(found) for _ in range(bad[w])]
-
-
-def _savings(toxic: Sizes, ordinary: Sizes, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return ordinary(parts) - toxic(parts), np.array([len(p) for p in parts])
+def relabelled(toxic: list[str | None], common: list[bytes], ordinary: Sizes) -> list[list[bytes]]:
+    """For each fold of the toxic texts, the windows that the other fold's dictionary tells from `common` windows."""
+    parts: list[list[bytes]] = [[], []]
+    for t in toxic:
+        parts[_fold(t)].extend(windows(t))
+    usual, out = ordinary(common), []
+    for f in (0, 1):
+        other = Sizes(_dictionary(parts[1 - f], DICTIONARY) + ordinary.content)
+        limit = max(1.0, float(np.quantile(usual - other(common), CLEAR))) if common else 1.0
+        saved = ordinary(parts[f]) - other(parts[f])
+        out.append([parts[f][k] for k in np.flatnonzero((saved >= limit) & (saved <= COPY)).tolist()])
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -149,24 +168,24 @@ def fit(texts: list[str | None], toxic: list[int], share: float | None = None) -
     share = float(y.mean()) if share is None and len(y) else share or 0.0
     if not len(y) or y.min() == y.max():
         base = np.clip(share, 1e-6, 1 - 1e-6)
-        return Model(None, None, np.array([np.log(base / (1 - base))]), np.zeros(0), np.ones(0))
-    parts = [windows(t) for t in texts]
+        return Model([], None, np.array([np.log(base / (1 - base))]), np.zeros(0), np.ones(0))
     half = np.empty(len(y), bool)  # of either class, one half trains dictionaries and the other calibrates
     for c in (0, 1):
         half[y == c] = np.arange(int((y == c).sum())) % 2 == 0
-    good, bad = (_words(texts, half & (y == c)) for c in (0, 1))
-    special = _contrast(bad, good, int((half & (y == 1)).sum()), int((half & (y == 0)).sum()))
-    if not good or not special:
+    usual = [texts[k] for k in np.flatnonzero(half & (y == 0)).tolist()]
+    ordinary = Sizes(_dictionary([p for t in usual for p in windows(t)], ORDINARY))
+    common = [p for t in usual[:COMMON] for p in windows(t)]
+    chosen = relabelled([texts[k] for k in np.flatnonzero(half & (y == 1)).tolist()], common, ordinary)
+    model = Model([Sizes(_dictionary(c, DICTIONARY) + ordinary.content) for c in chosen if c], ordinary, np.zeros(6), np.zeros(5), np.ones(5))
+    if not model.toxic:
         return fit([], [], share)
-    ordinary = Sizes(_dictionary([p for k in np.flatnonzero(half & (y == 0)).tolist() for p in windows(texts[k])], ORDINARY))
-    chosen = Sizes(_dictionary(special, DICTIONARY) + ordinary.content)
     rest = np.flatnonzero(~half) if 0 < y[~half].sum() < (~half).sum() else np.arange(len(y))
-    x = np.array([features(*_savings(chosen, ordinary, parts[k])) for k in rest.tolist()])
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    w = _logistic((x - mean) / scale, y[rest])
+    x = np.array([features(model.savings(windows(texts[k]))) for k in rest.tolist()])
+    model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    model.weights = _logistic((x - model.mean) / model.scale, y[rest])
     drawn = y[rest].mean()
-    w[-1] += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn)) if 0 < share < 1 else 0.0
-    return Model(chosen, ordinary, w, mean, scale)
+    model.weights[-1] += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn)) if 0 < share < 1 else 0.0
+    return model
 
 
 def held_out(id_col: str = "doc_id"):
@@ -191,16 +210,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """`docs` (with its text) and `score`, 0 to 1."""
     limit_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.drop("score")
-    frame = frame.select(F.struct(*(F.col(f"`{c}`") for c in frame.columns)).alias("rest"))
+    others = other_columns(docs, "score")
+    frame = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = T.StructType([frame.schema["rest"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).field(text_col).cast(pa.string()).to_pylist()
+            texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(texts), pa.float64())], names=["rest", "score"])
 
-    return frame.mapInArrow(run, out).select(*(F.col("rest").getField(c).alias(c) for c in docs.columns if c != "score"), "score")
+    return frame.mapInArrow(run, out).select(*(F.col("rest").getField(c).alias(c) for c in others), "score")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
