@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade, in Spark functions only.
 
 The base measures are exact counts over the whole text.  The further rules reject a text by themselves, so their order
-changes the cost but not the verdict: on a sample of at most SAMPLE rows each rule is timed and its rejections counted,
-and rules are asked by falling rejections per second in one CASE, which stops at the first that rejects.
+changes the cost but not the verdict.  On a sample (the SAMPLE texts of at most SAMPLE_BYTES bytes with the least hashes)
+the base measures are taken once and kept; a rule's cost is the time that asking it adds to a pass over them, and its
+rejections are counted among the texts that the base and the rules before it let through.  Rules are asked by falling
+rejections per cost in one CASE, which stops at the first that rejects.
 
 Repeated three-word windows are found without leaving the row: windows sorted with their positions put equal ones side
 by side (n log n), and texts whose windows' hashes all differ skip the sort.  No shuffle is needed.
@@ -14,15 +16,21 @@ repeated results; an empty table gives an empty result; other columns pass throu
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coppice.llm._arrow import other_columns
 from coppice.llm._native import BLANKS, indexes, let, words
+from coppice.plans.lineage import cut
 
 SYMBOLS = "#*$%&|<>"
 SAMPLE = 400
+SAMPLE_BYTES = 1 << 16
+REPEATS = 3
+FLOOR = 0.1  # costs under this share of a bare pass can't be told from noise and count as it
 
 
 class Text(NamedTuple):
@@ -92,19 +100,43 @@ def _base_failed(x: Text) -> Column:
     return (x.n_words < 50) | (x.n_repeat_words * 100 > x.n_words * 50)
 
 
-def order_rules(docs: DataFrame, text_col: str = "text", rules: dict = RULES) -> list[str]:
-    """Names of `rules` by falling rejections per second on at most SAMPLE rows."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    texts = [r[0] for r in docs.select(text).limit(SAMPLE).collect()]
-    if not texts:
-        return list(rules)
-    sample = docs.sparkSession.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
-    gain = {}
-    for name, rule in rules.items():
+def greedy_order(names: list[str], cost: dict[str, float], seen: list[tuple[frozenset, int]]) -> list[str]:
+    """`names` by falling rejections per cost, each among what those before it leave; `seen` tells how many texts which
+    rules reject.  Ties keep the order given."""
+    order, left = [], list(names)
+    while left:
+        rejected = {k: sum(n for fails, n in seen if k in fails) for k in left}
+        best = max(left, key=lambda k: rejected[k] / cost[k])
+        order.append(best)
+        left.remove(best)
+        seen = [(fails, n) for fails, n in seen if best not in fails]
+    return order
+
+
+def _seconds(frame: DataFrame, rule: Column) -> float:
+    """The quickest of REPEATS passes that read every column and ask `rule` of every row."""
+    times = []
+    for _ in range(REPEATS):
         began = time.perf_counter()
-        rejected = sample.agg(F.sum(_measure(F.col("text"), rule).cast("int"))).first()[0]
-        gain[name] = (rejected or 0) / max(time.perf_counter() - began, 1e-3)
-    return sorted(rules, key=lambda k: -gain[k])
+        frame.agg(F.sum(rule.cast("int")), *(F.count(c) for c in frame.columns)).first()
+        times.append(time.perf_counter() - began)
+    return min(times)
+
+
+def order_rules(docs: DataFrame, text_col: str = "text", rules: dict = RULES, seconds: Callable[[DataFrame, Column], float] = _seconds) -> list[str]:
+    """Names of `rules` in the order in which the cascade asks them."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    few = docs.select(text.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("text"), "text").limit(SAMPLE)
+    parts = lambda x: F.struct(*(getattr(x, k).alias(k) for k in Text._fields))
+    kept = cut(few.select(_measure(F.col("text"), parts).alias("m")).select("m.*").coalesce(1))
+    x = Text(*(F.col(k) for k in Text._fields))
+    fails = {k: rule(x) for k, rule in rules.items()}
+    if not fails:
+        return []
+    counts = kept.where(~_base_failed(x)).groupBy(*(f.alias(f"f{i}") for i, f in enumerate(fails.values()))).count().collect()  # SAMPLE rows at most
+    bare = max(seconds(kept, F.lit(False)), 1e-6)
+    cost = {k: max(seconds(kept, f) - bare, FLOOR * bare) for k, f in fails.items()}
+    return greedy_order(list(rules), cost, [(frozenset(k for k, f in zip(rules, r) if f), r["count"]) for r in counts])
 
 
 def judge(docs: DataFrame, text_col: str = "text", rules: dict = RULES) -> DataFrame:
@@ -119,7 +151,7 @@ def judge(docs: DataFrame, text_col: str = "text", rules: dict = RULES) -> DataF
         return F.struct(*(getattr(x, k).alias(k) for k in Text._fields[3:]), cascade.alias("failed"))
 
     names = [*Text._fields[3:], "base_failed", "kept", "failed_rule"]
-    others = [c for c in docs.columns if c not in (text_col, *names)]
+    others = other_columns(docs, text_col, *names)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     out = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), _measure(text, body).alias("m"))
     failed = F.col("m.failed")

@@ -35,8 +35,8 @@ def test_quality(spark):
         assert not (r.base_failed and r.kept)
         assert r.kept == (i >= len(ODD)), (i, r)
     assert quality.judge(spark.createDataFrame([], DOCS)).collect() == []
-    clash = spark.createDataFrame([(1, "x", 9, "p")], "doc_id long, text string, n_words int, words string")
-    assert quality.judge(clash).first()["n_words"] == 1
+    clash = spark.createDataFrame([(1, "x", 9, "p", 1)], "doc_id long, text string, N_Words int, words string, m int")
+    assert quality.judge(clash).first()["n_words"] == 1 and quality.judge(clash).columns[:3] == ["doc_id", "words", "m"]
 
 
 def test_quality_query_equals_sql(spark):
@@ -49,6 +49,21 @@ def test_quality_query_equals_sql(spark):
     assert set(quality.order_rules(spark.read.parquet(f"{SF}/documents.parquet"))) == set(quality.RULES)
 
 
+def test_rules_are_ordered_by_rejections_for_their_own_cost(spark):
+    docs = frame(spark, [prose(i, 60) + (" yes" if i % 2 else " no") + (" rare" if i < 3 else "") for i in range(30)] + ["short", None])
+    slow = lambda x: F.size(F.filter(x.words, lambda w: F.exists(F.sequence(F.lit(1), F.lit(300)), lambda i: F.sha2(F.concat(w, i.cast("string")), 512) == ""))) >= 0
+    rules = {"slow": slow, "never": lambda x: x.n_words < 0, "rare": lambda x: F.array_contains(x.words, "rare"), "half": lambda x: F.array_contains(x.words, "yes")}
+    assert quality.order_rules(docs, rules=rules)[0] == "half" and quality.order_rules(docs, rules=rules) == quality.order_rules(docs, rules=rules)
+    assert quality.order_rules(docs, rules={"slow": slow, "half": rules["half"]}) == ["half", "slow"]
+    same = lambda frame, rule: 1.0
+    assert quality.order_rules(docs, rules=rules, seconds=same) == ["slow", "never", "rare", "half"]  # the first leaves nothing
+    del rules["slow"]
+    assert quality.order_rules(docs, rules=rules, seconds=same) == ["half", "rare", "never"]
+    assert quality.order_rules(docs, rules={}) == [] and quality.order_rules(spark.createDataFrame([], DOCS), rules=rules) == list(rules)
+    # b rejects more at first, but nothing that a has left
+    assert quality.greedy_order(["b", "a", "c"], {"a": 1, "b": 2, "c": 1}, [(frozenset("ab"), 10), (frozenset("b"), 1), (frozenset("c"), 5)]) == ["a", "c", "b"]
+
+
 def plain_signatures(t, anchors):
     for c in ".,;:!?()\"'":
         t = t.replace(c, " ")
