@@ -14,10 +14,10 @@ offset, so two windows can be equal only if their anchors' grams are equal.
 4. `_sort_groups`: **deep-shallow sorting** of the contexts' suffixes, to the right of the anchor and (mirrored) to
    its left: multikey quicksort on eight-byte characters to SHALLOW bytes, then a blind trie for each group that
    still shares that prefix.  Neighbours' common-prefix lengths give the longest repeated window each way.
-   Groups that were dealt from one gram also give the digests (128 bits) of their windows: one for each distinct
-   window that could still widen a context's span.
-5. `_across`: a window whose digest two groups of one gram have repeats as well.  A digest has at most one row in each
-   group, however many contexts hold the window.
+5. Groups that were dealt from one gram are compared in two rounds of 128-bit digests (`_repeated`, `_windows`,
+   `_across`): first of the bytes that BLOCK neighbouring windows share, then, in blocks that two groups have, of the
+   windows.  A group gives one row for each distinct string, however many of its contexts hold it, and a context of
+   a passage's edge only has a few that no other has.
 6. The spans found go back to the open documents.
 
 Rows are told apart by a 128-bit digest of id and text, which any task can compute again.
@@ -48,6 +48,7 @@ SHALLOW = 32
 GROUP = 16384  # contexts of a gram that are sorted together, about: 6 MB of bytes
 BUFFER = 16 << 20  # bytes of text that a task holds while it looks for local repeats
 OUT = 4 << 20  # bytes of contexts and texts that go out together
+BLOCK = 13  # windows that are compared together at first
 ROWS = 8192  # contexts that are sorted in one call, or those of one group
 HOT = 32  # contexts of a gram within a task from which its rows are salted
 SALTS = 64
@@ -408,11 +409,12 @@ class _Sides:
         out[ranked] = np.cumsum(lcp < length)
         return out
 
-    def windows(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows with `i` bytes to the anchor's left: the contexts that have one, whether another context of
-        the group has the same, and whether a context is the first with its window."""
-        able = np.flatnonzero((self.sorted[0][2] >= i) & (self.sorted[1][2] >= SPAN - GRAM - i))
-        key = self._classes(0, i)[able] * (self.n + 1) + self._classes(1, SPAN - GRAM - i)[able]
+    def strings(self, left: int, right: int, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the strings from `left` bytes before the anchor's gram to `right` bytes after it: the contexts that have
+        one (of `some`), whether another context of the group has the same, and whether a context is the first."""
+        able = (self.sorted[0][2] >= left) & (self.sorted[1][2] >= right)
+        able = np.flatnonzero(able if some is None else able & some)
+        key = self._classes(0, left)[able] * (self.n + 1) + self._classes(1, right)[able]
         order = np.argsort(key, kind="stable")
         new = _runs(key[order])
         first, several = np.empty(len(able), bool), np.empty(len(able), bool)
@@ -421,6 +423,10 @@ class _Sides:
         several[order] = np.bincount(run)[run] > 1 if len(run) else new
         return able, several, first
 
+    def windows(self, i: int, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for the windows with `i` bytes to the gram's left."""
+        return self.strings(i, SPAN - GRAM - i, some)
+
 
 def repeated_reach(sides: _Sides) -> tuple[np.ndarray, np.ndarray]:
     """Of the windows through each context's anchor that another context of its group has too: the most and the
@@ -434,12 +440,23 @@ def repeated_reach(sides: _Sides) -> tuple[np.ndarray, np.ndarray]:
     return most, least
 
 
-_SPANS = schema("__r1 long, __r2 long, __start int, __end int, __w1 long, __w2 long, __alone boolean")
+def blocks() -> Iterator[tuple[int, int]]:
+    """(fewest, most) bytes that the windows of a block have to the gram's left."""
+    for low in range(0, SPAN - GRAM + 1, BLOCK):
+        yield low, min(low + BLOCK, SPAN - GRAM + 1) - 1
 
 
-def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of contexts sorted by gram and part: the repeated reach of each open one (rows without __w1), and the windows
-    of grams with several parts."""
+def _digests(blobs: list[bytes], left: np.ndarray, at: np.ndarray, before: int, after: int) -> np.ndarray:
+    """Digests of the strings from `before` bytes before the gram to `after` bytes after it."""
+    out = [xxhash.xxh3_128_digest(blobs[k][left[k] - before : left[k] + GRAM + after], before) for k in at.tolist()]
+    return np.frombuffer(b"".join(out), "<i8").reshape(-1, 2)
+
+
+_SPANS = schema("__r1 long, __r2 long, __start int, __end int, __w1 long, __w2 long, __g long, __sub int")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole groups of rows sorted by gram and part, about ROWS rows or one group at a time."""
     carry = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -448,43 +465,73 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         last = int(np.flatnonzero(_runs(carry.column("__g").to_numpy(), carry.column("__sub").to_numpy()))[-1])
         if last:
-            yield from _sorted(carry.slice(0, last))
+            yield carry.slice(0, last)
             carry = carry.slice(last).combine_chunks()
     if carry is not None and carry.num_rows:
-        yield from _sorted(carry)
+        yield carry
+
+
+def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of contexts sorted by gram and part: the repeated reach of each open one (rows without __w1), and for grams with
+    several parts the digests of each part's blocks."""
+    for table in _groups(batches):
+        yield from _sorted(table)
 
 
 def _sorted(table: pa.Table) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(_runs(table.column("__g").to_numpy(), table.column("__sub").to_numpy()))
     split = table.column("__split").to_numpy(zero_copy_only=False)
     live = (np.bincount(group)[group] > 1) | split
-    table, group, split = table.filter(pa.array(live)), group[live], split[live]
+    table, group, split = table.filter(pa.array(live)).combine_chunks(), group[live], split[live]
     if not table.num_rows:
         return
     blobs, left = table.column("__blob").to_pylist(), table.column("__left").to_numpy().astype(np.int64)
     sides = _Sides(blobs, left, group)
     most, least = repeated_reach(sides)
-    is_open, pos = table.column("__open").to_numpy(zero_copy_only=False), table.column("__pos").to_numpy()
-
-    def rows(at: np.ndarray, start: np.ndarray, end: np.ndarray, digests: np.ndarray | None, alone: np.ndarray) -> pa.RecordBatch:
-        i = pa.array(at)
-        w = [pa.nulls(len(at), pa.int64())] * 2 if digests is None else [pa.array(digests[:, k].copy()) for k in (0, 1)]
-        ids = [table.column(c).combine_chunks().take(i) for c in ("__r1", "__r2")]
-        return pa.RecordBatch.from_arrays([*ids, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), *w, pa.array(alone)], names=_SPANS.names)
-
-    hit = np.flatnonzero((most >= 0) & is_open)
-    yield rows(hit, pos[hit] - most[hit], pos[hit] - least[hit] + SPAN, None, np.ones(len(hit), bool))
-    for i in range(SPAN - GRAM + 1) if split.any() else ():
-        able, several, first = sides.windows(i)
-        wanted = split[able] & first  # one row for each distinct window, settled or not: other parts must hear of it
-        at, alone = able[wanted], (~several & is_open[able])[wanted]
-        digests = b"".join([xxhash.xxh3_128_digest(blobs[k][left[k] - i : left[k] - i + SPAN], i) for k in at.tolist()])
-        yield rows(at, pos[at] - i, pos[at] - i + SPAN, np.frombuffer(digests, "<i8").reshape(-1, 2), alone)
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by digest: the spans of those whose digest others have too and that are alone with it in their
-    part."""
+    hit = np.flatnonzero((most >= 0) & table.column("__open").to_numpy(zero_copy_only=False))
+    pos, i, none = table.column("__pos").to_numpy()[hit], pa.array(hit), pa.nulls(len(hit), pa.int64())
+    start, end = (pos - most[hit]).astype(np.int32), (pos - least[hit] + SPAN).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([*(table.column(c).take(i).combine_chunks() for c in ("__r1", "__r2")), pa.array(start), pa.array(end), none, none, none, none.cast(pa.int32())], names=_SPANS.names)
+    for low, high in blocks() if split.any() else ():
+        able, _, first = sides.strings(low, SPAN - GRAM - high, split)
+        at = able[first]
+        w, i = _digests(blobs, left, at, low, SPAN - GRAM - high), pa.array(at)
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, *[none.cast(pa.int32())] * 2, pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), *(table.column(c).take(i).combine_chunks() for c in ("__g", "__sub"))], names=_SPANS.names)
+
+
+_WINDOWS = schema("__r1 long, __r2 long, __start int, __end int, __w1 long, __w2 long, __alone boolean")
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by gram and part, each part's contexts behind the digests of those of its blocks that other parts
+    have too: the windows of these blocks."""
+    for tables in _groups(batches):
+        bounds = np.append(np.flatnonzero(_runs(tables.column("__g").to_numpy(), tables.column("__sub").to_numpy())), tables.num_rows)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            table = tables.slice(a, b - a).combine_chunks()
+            digest = table.column("__w1").is_valid().to_numpy(zero_copy_only=False)
+            if not digest.any():
+                continue
+            known = set(zip(*(table.column(c).filter(pa.array(digest)).to_pylist() for c in ("__w1", "__w2"))))
+            table = table.filter(pa.array(~digest)).combine_chunks()
+            blobs, left = table.column("__blob").to_pylist(), table.column("__left").to_numpy().astype(np.int64)
+            sides = _Sides(blobs, left, np.zeros(len(blobs), np.int64))
+            is_open, pos = table.column("__open").to_numpy(zero_copy_only=False), table.column("__pos").to_numpy()
+            for low, high in blocks():
+                able, _, _ = sides.strings(low, SPAN - GRAM - high)
+                w = _digests(blobs, left, able, low, SPAN - GRAM - high)
+                some = np.zeros(len(blobs), bool)
+                some[able[[x in known for x in zip(*w.T.tolist())]]] = True
+                for i in range(low, high + 1) if some.any() else ():
+                    able, several, first = sides.windows(i, some)
+                    at, alone = able[first], (~several & is_open[able])[first]
+                    w, k, start = _digests(blobs, left, at, i, SPAN - GRAM - i), pa.array(at), (pos[at] - i).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*(table.column(c).take(k).combine_chunks() for c in ("__r1", "__r2")), pa.array(start), pa.array(start + np.int32(SPAN)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), pa.array(alone)], names=_WINDOWS.names)
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by digest, those whose digest others have too."""
     held = None  # the last row of the batch before, until it is known whether its digest goes on
     met = False  # whether that row's digest had another row before it
     for batch in batches:
@@ -496,14 +543,9 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[0] |= met
         same[:-1] |= ~new[1:]
         held, met = table.slice(table.num_rows - 1).combine_chunks(), bool(same[-1])
-        yield from _alone(table.slice(0, table.num_rows - 1), same[:-1])
-    if held is not None:
-        yield from _alone(held, np.array([met]))
-
-
-def _alone(table: pa.Table, same: np.ndarray) -> Iterator[pa.RecordBatch]:
-    chosen = same & table.column("__alone").to_numpy(zero_copy_only=False)
-    yield from table.filter(pa.array(chosen)).select(["__r1", "__r2", "__start", "__end"]).combine_chunks().to_batches()
+        yield from table.slice(0, table.num_rows - 1).filter(pa.array(same[:-1])).combine_chunks().to_batches()
+    if held is not None and met:
+        yield from held.to_batches()
 
 
 def _close(digest: bool, names: list[str]):
@@ -550,8 +592,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     groups = state.where("__kind = 0").select("__g", "__sub", "__split", *row, "__pos", "__left", "__open", "__blob")
     spans = cut(groups.repartition("__g", "__sub").sortWithinPartitions("__g", "__sub").mapInArrow(_sort_groups, _SPANS))
-    across = spans.where("__w1 is not null").repartition("__w1", "__w2").sortWithinPartitions("__w1", "__w2")
-    spans = spans.where("__w1 is null").select(*row, "__start", "__end").unionByName(across.mapInArrow(_across, schema("__r1 long, __r2 long, __start int, __end int")))
+    place = ["__r1", "__r2", "__start", "__end"]
+
+    def repeated(df: DataFrame, kind: T.StructType) -> DataFrame:
+        return df.repartition("__w1", "__w2").sortWithinPartitions("__w1", "__w2").mapInArrow(_repeated, kind)
+
+    digests = ["__g", "__sub", "__w1", "__w2"]
+    of_blocks = repeated(spans.where("__w1 is not null").select(*digests), T.StructType([_SPANS[c] for c in digests]))
+    both = groups.where("__split").unionByName(of_blocks, allowMissingColumns=True)
+    of_windows = both.repartition("__g", "__sub").sortWithinPartitions("__g", "__sub").mapInArrow(_windows, _WINDOWS)
+    across = repeated(of_windows, _WINDOWS).where("__alone").select(*place)
+    spans = spans.where("__w1 is null").select(*place).unionByName(across)
     spans = spans.groupBy(*row).agg(F.collect_list(F.struct(F.col("__start").alias("start"), F.col("__end").alias("end"))).alias("__more"))
     opened = state.where("__kind = 1").select(*row, "__rest", "__blob", "__starts", "__ends")
     closed_schema = T.StructType([T.StructField("__rest", rest_type), *schema("__n_bytes long, __n_removed long, __n_spans long, __kept binary")])
