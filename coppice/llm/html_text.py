@@ -1,10 +1,14 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree of its elements; elements that are furniture by tag, role or name (menus, page headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden parts) are left out with all they hold.
+A page becomes a tree of its elements.  What is furniture by tag, role or attribute (menus, page headers, footers,
+sidebars, adverts, scripts, styles, hidden parts) is left out with all that it holds.  Names (classes and ids) and forms
+only raise a doubt, which the text inside decides: whole names count, not words within longer ones; headings, articles
+and the main element are never doubted, nor is what holds most of the page's text; within an article a name that fits
+page furniture or links takes out only what consists of links, and outside of one not what is mostly running text.
+
 Each remaining block of text passes points for its length and commas to its ancestors, less with each step up; an
-ancestor's points are discounted by the share of its text that stands in links.  The best container is kept together
-with those siblings that score like it or hold a paragraph of running text.
+ancestor's points are discounted by the share of its text that stands in links, and halved if it is in doubt.  The best
+container is kept together with those siblings that score like it or hold a paragraph of running text.
 
 Defined cases: null and empty pages give the empty text; text without any tags is one block; unclosed and stray tags
 are taken as browsers do in the common cases (a paragraph ends where the next block begins); ties go to the element
@@ -23,40 +27,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm._arrow import limit_batches
+from coppice.llm._arrow import limit_batches, other_columns
 
 # Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 LEAF = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote td th dd dt figcaption".split())
-GONE = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object embed svg canvas audio video menu dialog search title".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion footer gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+GONE = frozenset("head script style noscript template nav footer aside button select option textarea iframe object embed svg canvas audio video menu dialog search title".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+CLEAR_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner comment comments commentlist consent cookie cookies disqus gdpr hidden modal newsletter notice notices notification overlay popup promo promoted replies respond sidebar sponsor sponsored subscribe".split())
+PAGE_NAMES = frozenset("breadcrumb breadcrumbs footer header masthead menu nav navbar navigation pager pagination skip toolbar".split())
+LINK_NAMES = frozenset("discussion recommended related share sharing signup social widget widgets".split())
+NAMES = CLEAR_NAMES | PAGE_NAMES | LINK_NAMES
+PLAIN = frozenset("area bar block bottom box button buttons center col column container content fixed float form group holder icon icons inline inner item items left link links list main module page panel post posts right row section site slot small sticky text title top unit wrap wrapper".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BONUS = {"article": 10.0, "main": 8.0, "section": 3.0, "div": 2.0, "body": -5.0, "html": -10.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 _name = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "up", "gone", "points", "chars", "linked", "order")
+    __slots__ = ("tag", "up", "gone", "doubt", "points", "chars", "linked", "prose", "order")
+
+    def __init__(self, tag: str, up: _Node | None, gone: bool, doubt: str, order: int) -> None:
+        self.tag, self.up, self.gone, self.doubt, self.order = tag, up, gone, doubt, order
+        self.points = self.chars = self.linked = self.prose = 0
+
 
-    def __init__(self, tag: str, up: _Node | None, gone: bool, order: int) -> None:
-        self.tag, self.up, self.gone, self.order = tag, up, gone, order
-        self.points = self.chars = self.linked = 0
+def name_kind(value: str) -> str:
+    """What the whole names in a class or id say: "clear", "page", "link" or nothing.  A name counts if all of its words
+    are names of furniture or say nothing by themselves."""
+    kinds = ""
+    for name in value.split():
+        words = {w.lower() for w in _name.findall(name)}
+        if words & NAMES and words <= NAMES | PLAIN:
+            kinds = "clear" if words & CLEAR_NAMES else kinds or ("page" if words & PAGE_NAMES else "link")
+        if kinds == "clear":
+            break
+    return kinds
 
 
-def furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+def furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> tuple[bool, str]:
+    """(left out, doubt: "" or "form", or a kind of name, with "in " before it within an article)."""
     if tag in GONE or (tag == "header" and not in_article):
-        return True
+        return True, ""
+    doubt = "form" if tag == "form" else ""
     for key, value in attrs:
         value = value or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "role" and value.lower() in ROLES):
-            return True
+            return True, ""
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key in ("class", "id") and tag not in ("html", "body", "article", "main") and any(x.lower() in NAMES for x in _name.findall(value)):
-            return True
-    return False
+            return True, ""
+        if key in ("class", "id") and tag not in ("html", "body", "article", "main") and tag not in HEADINGS:
+            kind = name_kind(value)
+            if kind and tag not in BLOCK:  # within a line
+                if kind == "clear" or tag == "a":
+                    return True, ""
+            elif kind and doubt != "clear":
+                doubt = kind if kind == "clear" or not in_article else f"in {kind}"
+    return False, doubt
 
 
 class _Reader(HTMLParser):
@@ -64,7 +93,7 @@ class _Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = _Node("", None, False, 0)
+        self.root = _Node("", None, False, "", 0)
         self.open = [self.root]
         self.n = self.links = self.articles = 0
         self.blocks: list[tuple[_Node, str, int]] = []
@@ -82,7 +111,7 @@ class _Reader(HTMLParser):
     def _pop(self, to: int) -> None:
         for node in self.open[to:]:
             self.links -= node.tag == "a"
-            self.articles -= node.tag == "article"
+            self.articles -= node.tag in ("article", "main")
         del self.open[to:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -108,9 +137,10 @@ class _Reader(HTMLParser):
             return
         above = self.open[-1]
         self.n += 1
-        self.articles += tag == "article"
+        self.articles += tag in ("article", "main")
         self.links += tag == "a"
-        self.open.append(_Node(tag, above, above.gone or furniture(tag, attrs, self.articles > 0), self.n))
+        gone, doubt = (True, "") if above.gone else furniture(tag, attrs, self.articles > 0)
+        self.open.append(_Node(tag, above, gone, doubt, self.n))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -138,6 +168,43 @@ class _Reader(HTMLParser):
             self.linked += len(data.strip())
 
 
+def _prose(text: str, linked: int) -> bool:
+    """Whether a block is running text."""
+    return len(text) >= 80 and linked < 0.25 * len(text)
+
+
+def _doubted(node: _Node, total: int) -> bool:
+    """Whether what `node` holds bears out the doubt about it."""
+    if not node.doubt or 2 * node.chars > total:
+        return False
+    if node.doubt in ("in page", "in link"):
+        return 10 * node.linked >= 3 * node.chars
+    return node.doubt != "link" or 2 * node.prose < node.chars or 4 * node.linked >= node.chars
+
+
+def _undoubted(reader: _Reader) -> list[tuple[_Node, str, int]]:
+    """Blocks that are in no element whose doubt is borne out; nodes know how much of their text is links and prose."""
+    for owner, text, linked in reader.blocks:
+        node = owner
+        while node is not None:
+            node.chars += len(text)
+            node.linked += linked
+            node.prose += len(text) if _prose(text, linked) else 0
+            node = node.up
+    total, fate = reader.root.chars, {reader.root.order: False}
+    kept = []
+    for block in reader.blocks:
+        chain, node = [], block[0]
+        while node.order not in fate:
+            chain.append(node)
+            node = node.up
+        for below in reversed(chain):
+            fate[below.order] = fate[below.up.order] or _doubted(below, total)
+        if not fate[block[0].order]:
+            kept.append(block)
+    return kept
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -145,7 +212,7 @@ def main_text(html: str | None) -> str:
     reader.feed(html)
     reader.close()
     reader.flush()
-    blocks, scored = reader.blocks, {}
+    blocks, scored = _undoubted(reader), {}
     if not blocks:
         return ""
     for owner, text, linked in blocks:
@@ -153,12 +220,10 @@ def main_text(html: str | None) -> str:
         node, share = (owner.up if owner.tag in LEAF and owner.up else owner), 1.0
         while node is not None:
             node.points += points * share
-            node.chars += len(text)
-            node.linked += linked
             scored[node.order] = node
             share /= 2
             node = node.up
-    value = {k: (n.points + BONUS.get(n.tag, 0.0)) * (1 - n.linked / max(1, n.chars)) for k, n in scored.items()}
+    value = {k: (n.points + BONUS.get(n.tag, 0.0)) * (1 - n.linked / max(1, n.chars)) * (0.5 if n.doubt else 1) for k, n in scored.items()}
     best = scored[max(sorted(value), key=value.__getitem__)]
     kept = []
     for owner, text, linked in blocks:
@@ -169,7 +234,7 @@ def main_text(html: str | None) -> str:
             kept.append(text)
         elif node is not None:  # below the best container's parent
             sibling = value.get(child.order, 0.0) if child is not None else 0.0
-            prose = len(text) >= 80 and linked < 0.25 * len(text)
+            prose = _prose(text, linked)
             if sibling >= max(10.0, 0.2 * value[best.order]) or (prose and (child is None or child.tag in LEAF)):
                 kept.append(text)
     return "\n".join(kept)
@@ -178,7 +243,7 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """`pages` without its html, with `text` and n_chars (long)."""
     limit_batches(pages.sparkSession)
-    others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    others = other_columns(pages, html_col, "text", "n_chars")
     frame = pages.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(f"`{html_col}`").cast("string").alias("html"))
     out = T.StructType([frame.schema["rest"], T.StructField("text", T.StringType())])
 

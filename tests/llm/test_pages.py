@@ -66,6 +66,51 @@ def test_main_text():
     assert ht.main_text("<div>" * 3000 + "deep text" + "</div>" * 10) == "deep text"
 
 
+SAID = "Some running text of the article, with commas, and enough of it to be a paragraph that people read. "
+
+
+def article(inside):
+    return f'<body><nav><a href="/">Home</a></nav><div id="menu"><ul><li><a href="/a">A</a><li><a href="/b">B</a></ul></div><article><h1>Title</h1><p>{SAID * 3}</p>{inside}<p>{SAID * 2}End.</p></article><div class="page-footer"><p>{SAID}</p></div></body>'
+
+
+def test_names_within_an_article_drop_no_text():
+    frame = ["Title", (SAID * 3).strip()], [SAID * 2 + "End."]
+    for inside, text in (
+        ('<h2 id="related-work">Related work</h2>', ["Related work"]),
+        ('<h2 id="header-files">Header files</h2>', ["Header files"]),
+        ('<h3 class="comments">On comments</h3>', ["On comments"]),
+        (f'<section id="discussion"><p>{SAID}</p></section>', [SAID.strip()]),
+        (f'<div class="widget"><p>{SAID}</p><p>Short.</p></div>', [SAID.strip(), "Short."]),
+        ('<div class="share-price-table"><table><tr><td>ACME<td>12.5</table></div>', ["ACME", "12.5"]),
+        ('<ul class="menu"><li>Soup 3.50<li>Bread 1.20</ul>', ["Soup 3.50", "Bread 1.20"]),
+        ('<p>A <span class="notice-of-death">notice</span> of <a class="related-term" href="x">terms</a>.</p>', ["A notice of terms."]),
+        ('<div class="share"><a href="x">Facebook</a> <a href="y">Mail</a></div>', []),
+        ('<div class="related-posts"><ul><li><a href="x">One more post that you may like</a><li><a href="y">Another</a></ul></div>', []),
+        ('<div class="ad">Buy now</div>', []),
+        (f'<div class="sidebar"><p>{SAID}</p></div><div id="cookie-notice">{SAID}</div><div class="comments"><p>{SAID}</p></div>', []),
+        ('<form action="s"><input name="q"><label>Your mail</label><button>Send</button></form>', []),
+    ):
+        assert ht.main_text(article(inside)) == "\n".join([*frame[0], *text, *frame[1]]), inside
+
+
+def test_what_holds_the_page_is_no_furniture():
+    for wrap in ('<form method="post" action="x">%s</form>', '<div id="header-wrapper">%s</div>', '<div class="sidebar-left">%s</div>', '<div class="modal">%s</div>'):
+        page = wrap % (article("").removeprefix("<body>").removesuffix("</body>"))
+        assert ht.main_text(f"<body>{page}</body>") == ht.main_text(article("")) != ""
+    plain = f'<body><div class="top-menu"><a href="/">Home</a> <a href="/x">X</a></div><div><p>{SAID * 2}</p><section id="discussion"><p>{SAID * 2}</p></section></div><div class="footer"><p>{SAID}</p></div><div class="social"><a href="f">F</a></div></body>'
+    assert ht.main_text(plain) == "\n".join([(SAID * 2).strip()] * 2)
+    assert ht.name_kind("post related-posts") == "link" and ht.name_kind("related-work share-price") == "" and ht.name_kind("pageHeader ad1") == "clear"
+
+
+def test_rows_of_pages(spark):
+    rows = [(1, "u", None, 1), (2, "u", "", 1), (3, "u", PAGE, 1), (3, "u", PAGE, 1), (None, None, "<p>" + "word " * 200_000, 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, rest int").selectExpr("*", "'old' as Text", "1 as N_Chars", "2 as reST2")
+    out = ht.extract(pages)
+    assert out.columns == ["page_id", "url", "rest", "reST2", "text", "n_chars"]
+    got = [tuple(r) for r in out.collect()]
+    assert [len(r[4]) for r in got] == [0, 0, len(ht.main_text(PAGE)), len(ht.main_text(PAGE)), 999_999] and all(r[5] == len(r[4]) for r in got) and got[2] == got[3]
+
+
 def test_two_sections_are_kept():
     part = "<div><p>%s</p></div>" % ("Some running text, with commas, that goes on. " * 8)
     assert ht.main_text("<body><div>" + part * 2 + "</div><div><a href=x>link one</a> <a href=y>link two</a></div></body>").count("\n") == 1
