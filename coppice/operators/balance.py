@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coppice.operators.ranges import chunk_of, with_position
@@ -25,14 +25,16 @@ def by_cost(df: DataFrame, cost: Column, *order: str, parts: int) -> DataFrame:
 
     Prefix sums run within range partitions; the sums of partitions (one number each) give their offsets.
     """
-    placed = with_position(df.withColumn("cost", cost.cast("double")), *order).withColumn("block", F.floor(F.col("pos") / 4096))
-    from pyspark.sql import Window
-
-    inside = Window.partitionBy("block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("block").agg(F.sum("cost").alias("s"))
-    before = sums.select("block", F.coalesce(F.sum("s").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.sum("s").over(Window.partitionBy(F.lit(1))).alias("total"))
-    out = placed.join(before, "block").withColumn("at", F.coalesce(F.sum("cost").over(inside), F.lit(0.0)) + F.col("before"))
-    return out.withColumn("rank", F.least(F.lit(parts), F.floor(F.col("at") * parts / F.col("total")) + 1).cast("int")).drop("block", "before", "total", "at")
+    spark = df.sparkSession
+    rows = with_position(df.withColumn("cost", cost.cast("double")), *order, part_col="part")
+    at, before = 0.0, []
+    for part, s in sorted(rows.groupBy("part").agg(F.sum("cost")).collect()):  # a row for each partition
+        before.append((part, at))
+        at += s or 0.0
+    offsets = spark.createDataFrame(before, "part int, before double")
+    inside = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(offsets), "part").withColumn("at", F.coalesce(F.sum("cost").over(inside), F.lit(0.0)) + F.col("before"))
+    return out.withColumn("rank", F.least(F.lit(parts), F.floor(F.col("at") * parts / F.lit(at or 1.0)) + 1).cast("int")).drop("part", "before", "at")
 
 
 def greedy_split(costs: list[float], parts: int, slack: float = 0.0) -> list[int]:

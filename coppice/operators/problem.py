@@ -13,11 +13,31 @@ def _same(df: DataFrame) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class Serial:
+    """The same problem in plain Python, for sub-trees that end within a task: nodes are dictionaries with the payload.
+
+    `values` are what a base node contributes and `non_base` what an inner node adds, both as dictionaries; `combine`
+    joins the values of an inner node's children, in order, for a tree reduction.  `whole` replaces the walk over a
+    sub-tree by a function of its root that returns the values of the sub-tree."""
+
+    is_base: Callable[[dict], bool]
+    children: Callable[[dict], list[dict]]
+    values: Callable[[dict], dict]
+    non_base: Callable[[dict], dict] | None = None
+    combine: Callable[[dict, list[dict]], dict] | None = None
+    pre: Callable[[dict], dict] = lambda node: node
+    pre_rec: Callable[[dict], dict] = lambda node: node
+    whole: Callable[[dict], dict] | None = None
+
+
 @dataclass(frozen=True)
 class Problem:
     """Sub-problems are rows.  `children` gives an array of structs with the payload's columns, in child order.
 
     Each row goes through `pre`, then `is_base` is asked; inner rows go through `pre_rec` before their children.
+    `arity` is the number of children (0: it varies), `cost` a row's weight for balancing, `do_parallel` says of a row
+    whether its children are still to be dealt out as rows, and `serial` is the same problem in Python.
     """
 
     payload: tuple[str, ...]
@@ -25,6 +45,10 @@ class Problem:
     children: Callable[[], Column]
     pre: Callable[[DataFrame], DataFrame] = _same
     pre_rec: Callable[[DataFrame], DataFrame] = _same
+    arity: int = 0
+    cost: Callable[[], Column] = lambda: F.lit(1.0)
+    do_parallel: Callable[[], Column] = lambda: F.lit(True)
+    serial: Serial | None = None
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,6 @@ Each level's frontier is cut (written to the shared checkpoint folder), so plans
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -55,56 +54,64 @@ def fold(roots: DataFrame, problem: Problem, body: Body, collapse: bool = False)
         for rows, values in ((frontier.where("__base"), body.base), (frontier.where("not __base"), body.non_base)):
             if values:
                 parts.append(rows.select(*((v() * F.col(MULTIPLICITY) if collapse else v()).alias(k) for k, v in values.items())))
+    if not parts:  # no root: the same aggregates over no rows
+        roots = problem.pre(roots.select(*problem.payload).limit(0))
+        parts = [roots.select(*(v().alias(k) for k, v in (body.base or body.non_base).items()))]
     every = reduce(DataFrame.unionByName, parts)
     return every.agg(*(make(k).alias(k) for k, make in body.combine.items()))
 
 
-def tree_reduce(roots: DataFrame, problem: Problem, base: Callable[[], Column], combine: Callable[[Column], Column], value: str = "value") -> DataFrame:
+def tree_reduce(
+    roots: DataFrame, problem: Problem, base: Callable[[], Column], combine: Callable[[Column], Column], value: str = "value",
+    stop: Callable[[int], Column] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(root payload, value): results of children, in child order as an array, combined at each inner node.
 
-    `combine` sees the array of the children's values and the node's own payload columns.
+    `combine` sees the array of the children's values and the node's own payload columns.  Inner rows of a depth for which
+    `stop` holds are not opened: `finish` adds their values.
     """
     held: list[DataFrame] = []
-    frontier = roots.select(*problem.payload).withColumn("__id", F.xxhash64(*problem.payload).cast("string")).withColumn("__up", F.lit(None).cast("string")).withColumn("__ix", F.lit(0))
+    frontier = roots.select(*problem.payload).withColumn("__id", F.monotonically_increasing_id().cast("string")).withColumn("__up", F.lit(None).cast("string")).withColumn("__ix", F.lit(0))
     while True:
-        frontier = cut(problem.pre(frontier).withColumn("__base", problem.is_base()))
-        if frontier.isEmpty():
+        frontier = problem.pre(frontier).withColumn("__base", problem.is_base())
+        frontier = cut(frontier.withColumn("__stop", ~F.col("__base") & (stop(len(held)) if stop else F.lit(False))))
+        if held and frontier.isEmpty():
             break
         held.append(frontier)
-        inner = problem.pre_rec(frontier.where("not __base"))
+        if stop and not frontier.where("not __base and not __stop").limit(1).count():
+            break
+        inner = problem.pre_rec(frontier.where("not __base and not __stop"))
         kids = inner.select(F.col("__id").alias("__up"), F.posexplode(problem.children()).alias("__ix", "__child"))
         frontier = kids.select(*(F.col(f"__child.{c}").alias(c) for c in problem.payload), F.concat_ws(".", "__up", F.col("__ix").cast("string")).alias("__id"), "__up", "__ix")
     done: DataFrame | None = None
     for level in reversed(held):
         own = level.where("__base").select(*problem.payload, "__id", "__up", "__ix", base().alias(value))
+        if finish:
+            own = own.unionByName(finish(level.where("__stop")))
         if done is not None:
             gathered = done.groupBy("__up").agg(F.array_sort(F.collect_list(F.struct("__ix", value))).alias("__kids")).withColumnRenamed("__up", "__id")
-            above = problem.pre_rec(level.where("not __base")).join(gathered, "__id")
+            above = problem.pre_rec(level.where("not __base and not __stop")).join(gathered, "__id")
             own = own.unionByName(above.select(*problem.payload, "__id", "__up", "__ix", combine(F.col(f"__kids.{value}")).alias(value)))
         done = cut(own)
     return done.select(*problem.payload, value)
 
 
-def finish_in_tasks(frontier: DataFrame, serial: Callable, schema: str) -> DataFrame:
-    """Ends sub-problems inside tasks: `serial` maps an iterator of pandas frames to result frames."""
-    return frontier.mapInPandas(serial, schema)
-
-
-@dataclass
-class Decomposition:
-    """The levels of an expanded tree, kept so that later evaluations need not expand it again."""
-
-    problem: Problem
-    roots: DataFrame
-    held: list[DataFrame] = field(default_factory=list)
-
-    def levels(self) -> list[DataFrame]:
-        if not self.held:
-            self.held = [f for _, f in levels(self.roots, self.problem)]
-        return self.held
-
-    def leaves(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, (f.where("__base") for f in self.levels())).drop("__base")
-
-    def reset(self) -> None:
-        self.held = []
+def reduce_table(nodes: DataFrame, values: dict[str, Callable[[str], Column]], node: str = "node", up: str = "up", depth: str = "depth") -> DataFrame:
+    """(node, values): an explicit tree's tables of own values combined from the deepest level up.
+
+    `nodes` holds node, up (null at roots), depth (0 at roots) and a column for each of `values`; nodes without children
+    keep their own.  A level's sums are one aggregate by the node above, so only one level's rows are moved at a time."""
+    rows = cut(nodes.select(node, up, depth, *values))
+    deepest = rows.agg(F.max(depth)).first()[0]
+    done: list[DataFrame] = []
+    below: DataFrame | None = None
+    for d in range(-1 if deepest is None else deepest, -1, -1):
+        level = rows.where(F.col(depth) == d).select(node, up, *values)
+        if below is not None:
+            sent = below.where(F.col(up).isNotNull()).select(F.col(up).alias(node), *values)
+            own = level.select(node, *values).unionByName(sent).groupBy(node).agg(*(make(k).alias(k) for k, make in values.items()))
+            level = own.join(level.select(node, up), node)
+        below = cut(level)
+        done.append(below)
+    every = reduce(DataFrame.unionByName, done) if done else rows.select(node, up, *values)
+    return every.select(node, *values)

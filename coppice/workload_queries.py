@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coppice.functions import stats
 from coppice.operators import balance, loops, ranges, workloads
 from coppice.operators.problem import Body, Problem
-from coppice.plans import frontier, tune
+from coppice.plans import frontier, granularity, tune
+from coppice.plans.behavior import Behavior
+from coppice.plans.evaluate import evaluate
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,9 +33,19 @@ def _read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _whole(spark, end: int) -> DataFrame:
+    return spark.createDataFrame([(0, end)], "start long, end long")
+
+
+def _midpoint_body() -> Body:
+    return Body({"total": lambda: F.col("start"), "leaves": lambda: F.lit(1).cast("long")}, {"total": F.sum, "leaves": F.sum})
+
+
 @query("SELECT sum(l_quantity) AS total, min(l_quantity) AS least, max(l_quantity) AS most, count(*) AS n FROM lineitem")
 def pfor_reduce_sum(spark, sf_dir):
-    return _read(spark, sf_dir, "lineitem").agg(F.sum("l_quantity").alias("total"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.count(F.lit(1)).alias("n"))
+    """Seven contiguous chunks of the rows, reduced within each and then over all."""
+    q = F.col("l_quantity")
+    return loops.reduce_rows(_read(spark, sf_dir, "lineitem"), 7, {"total": (q, F.sum), "least": (q, F.min), "most": (q, F.max), "n": (F.lit(1).cast("long"), F.sum)}, "l_orderkey", "l_linenumber")
 
 
 @query("SELECT sum(i * i) AS value FROM range(10000) t(i)")
@@ -62,25 +75,31 @@ def range_chunks_two_level(spark, sf_dir):
 @query("WITH RECURSIVE t(s, e) AS (SELECT 0, 1000 UNION ALL SELECT s + i * ((e - s) // 3) + least(i, (e - s) % 3), s + (i + 1) * ((e - s) // 3) + least(i + 1, (e - s) % 3) FROM t, range(3) r(i) WHERE e - s >= 3) SELECT s::BIGINT AS start, e::BIGINT AS \"end\" FROM t WHERE e - s < 3")
 def srange_leaves(spark, sf_dir):
     root = spark.createDataFrame([(0, 1000)], "start long, end long")
-    return frontier.Decomposition(ranges.nested_split(3), root).leaves().select("start", "end")
+    rows = granularity.contributions(root, ranges.nested_split(3), T.StructType([T.StructField("n", T.LongType())]))
+    return rows.select("start", "end")
 
 
-@query("SELECT (1023 * 1024 / 2)::BIGINT AS total, 1024::BIGINT AS leaves")
+_MIDPOINT = "WITH RECURSIVE t(s, e) AS (SELECT 0::BIGINT, {end}::BIGINT UNION ALL SELECT CASE WHEN side = 0 THEN s ELSE (s + e) // 2 + 1 END, CASE WHEN side = 0 THEN (s + e) // 2 ELSE e END FROM t, (VALUES (0), (1)) v(side) WHERE s < e) "
+
+
+@query(_MIDPOINT.format(end=1023) + "SELECT sum(s)::BIGINT AS total, count(*) AS leaves FROM t WHERE s = e")
 def range_midpoint_sum(spark, sf_dir):
-    body = Body({"total": lambda: F.col("start"), "leaves": lambda: F.lit(1)}, {"total": F.sum, "leaves": F.sum})
-    out = frontier.fold(spark.createDataFrame([(0, 1023)], "start long, end long"), ranges.midpoint_split(), body)
-    return out.select("total", F.col("leaves").cast("long").alias("leaves"))
+    """Sub-ranges end within tasks."""
+    out = evaluate(_whole(spark, 1023), ranges.midpoint_split(), _midpoint_body(), "automatic").value
+    return out.select("total", "leaves")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity + 2 * l_extendedprice AS v FROM lineitem")
 def pfor_map(spark, sf_dir):
-    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") + 2 * F.col("l_extendedprice")).alias("v"))
+    return loops.map_rows(_read(spark, sf_dir, "lineitem"), v=F.col("l_quantity") + 2 * F.col("l_extendedprice")).select("l_orderkey", "l_linenumber", "v")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers, round(max(o_totalprice), 4) AS most FROM orders")
 def reduce_struct(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders")
-    return o.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"), F.round(F.max("o_totalprice"), 4).alias("most"))
+    """A flat fold of a problem whose sub-problems are all base cases."""
+    flat = Problem(("o_custkey", "o_totalprice"), lambda: F.lit(True), lambda: F.array().cast("array<struct<o_custkey: bigint, o_totalprice: double>>"))
+    body = Body({"n": lambda: F.lit(1).cast("long"), "customers": lambda: F.col("o_custkey"), "most": lambda: F.col("o_totalprice")}, {"n": F.sum, "customers": F.count_distinct, "most": F.max})
+    return evaluate(_read(spark, sf_dir, "orders"), flat, body).value.withColumn("most", F.round("most", 4))
 
 
 @query("SELECT label, (i - 1)::INTEGER AS pos, round(sum(x::DOUBLE), 4) AS total FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL")
@@ -130,28 +149,39 @@ def nqueens_6_boards(spark, sf_dir):
     return workloads.queen_boards(spark, 6)
 
 
-@query("SELECT 2047::BIGINT AS total")
+@query("WITH RECURSIVE t(k, level) AS (SELECT 1::BIGINT, 1 UNION ALL SELECT 2 * k + c, level + 1 FROM t, (VALUES (0), (1)) v(c) WHERE level < 11) SELECT count(*) AS total FROM t")
 def tree_add(spark, sf_dir):
     return workloads.tree_add(spark, 11)
 
 
 @query("WITH RECURSIVE t(k, node, v) AS (SELECT o_orderkey + 1, o_orderkey + 1, o_totalprice FROM orders UNION ALL SELECT k, node // 2, v FROM t WHERE node > 1) SELECT node AS node, round(sum(v), 2) AS total, count(*) AS n FROM t WHERE node < 64 GROUP BY node")
 def tree_add_heap(spark, sf_dir):
-    o = _read(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("k"), F.col("o_totalprice").cast("decimal(18,4)").alias("v"))
-    depth = F.floor(F.log2(F.col("k"))).cast("int")
-    up = o.withColumn("node", F.expr("shiftright(k, greatest(0, cast(floor(log2(k)) as int) - 5))")).groupBy("node").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
-    del depth
-    every = up.withColumn("node", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.log2("node")).cast("int")), lambda i: F.floor(F.col("node") / F.pow(F.lit(2.0), i)).cast("long"))))
-    return every.groupBy("node").agg(F.round(F.sum("v").cast("double"), 2).alias("total"), F.sum("n").alias("n"))
+    """Each order at its place in a heap, the sums going up level by level."""
+    o = _read(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("node"), F.col("o_totalprice").cast("decimal(38,4)").alias("total"), F.lit(1).cast("long").alias("n"))
+    depth = (F.length(F.bin("node")) - 1).cast("int")
+    out = frontier.reduce_table(o.withColumn("up", F.when(F.col("node") > 1, F.shiftright("node", 1))).withColumn("depth", depth), {"total": F.sum, "n": F.sum})
+    return out.where("node < 64").select("node", F.round(F.col("total").cast("double"), 2).alias("total"), "n")
 
 
 @query("SELECT r_name AS region, n_name AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
 def hierarchy_rollup(spark, sf_dir):
+    """World, regions, nations and customers as one tree; the customers' level is reduced before the tree is cut."""
     c, n, r = (_read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    by = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,4)")).alias("total"))
-    named = by.join(n, by["c_nationkey"] == n["n_nationkey"]).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    out = named.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("nation"))
-    return out.agg(F.sum("n").alias("n"), F.round(F.sum("total").cast("double"), 2).alias("total"))
+    by = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c_acctbal").cast("decimal(38,4)")).alias("total"))
+    none = [F.lit(0).cast("long").alias("n"), F.lit(None).cast("decimal(38,4)").alias("total")]
+    nations = n.join(by, n["n_nationkey"] == by["c_nationkey"], "left")
+    rows = [
+        spark.range(1).select(F.lit("world").alias("node"), F.lit(None).cast("string").alias("up"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("name"), *none),
+        r.select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit("world").alias("up"), F.lit(1).alias("depth"), F.col("r_name").alias("name"), *none),
+        nations.select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("up"), F.lit(2).alias("depth"), F.col("n_name").alias("name"), F.coalesce(by["n"], F.lit(0)).alias("n"), "total"),
+    ]
+    tree = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    sums = frontier.reduce_table(tree, {"n": F.sum, "total": F.sum}).where("n > 0")
+    names = tree.select("node", "up", "depth", "name").alias("t")
+    above = tree.select(F.col("node").alias("up_node"), F.col("name").alias("up_name"))
+    out = sums.join(names, "node").join(above, F.col("up") == F.col("up_node"), "left")
+    region = F.when(F.col("depth") == 1, F.col("name")).when(F.col("depth") == 2, F.col("up_name"))
+    return out.select(region.alias("region"), F.when(F.col("depth") == 2, F.col("name")).alias("nation"), "n", F.round(F.col("total").cast("double"), 2).alias("total"))
 
 
 @query("WITH i AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS k, (10 + 7 * r_regionkey % 11)::BIGINT AS v, (3 + 5 * r_regionkey % 7)::BIGINT AS w FROM region), s AS (SELECT unnest(range(32)) AS mask), t AS (SELECT mask, sum(v) AS v, sum(w) AS w FROM s, i WHERE (mask >> k) & 1 = 1 GROUP BY mask) SELECT max(v)::BIGINT AS best FROM t WHERE w <= 15")
@@ -251,7 +281,11 @@ def scatter_gather_roundtrip(spark, sf_dir):
 
 @query("SELECT o_orderkey, -o_totalprice AS v FROM orders")
 def gather_input_negate(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").select("o_orderkey", (-F.col("o_totalprice")).alias("v"))
+    """The input comes back as the base cases' `pre` has changed it, after the user's own pass over it."""
+    flat = Problem(("o_orderkey", "v"), lambda: F.lit(True), lambda: F.array().cast("array<struct<o_orderkey: bigint, v: double>>"), pre=lambda df: df.withColumn("v", -F.col("v")))
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"))
+    body = Body({"total": lambda: F.col("v")}, {"total": F.sum})
+    return evaluate(rows, flat, body, behavior=Behavior.GATHER_INPUT, gather_input_post=lambda df: df.select("o_orderkey", "v")).input
 
 
 @query("SELECT round(avg(p_retailprice), 4) AS mean, round(count(*) / sum(1 / p_retailprice), 4) AS harmonic, round(exp(avg(ln(p_retailprice))), 4) AS geometric, round(median(p_retailprice), 4) AS median FROM part")
@@ -272,10 +306,14 @@ def chunk_scores(spark, sf_dir):
     return tune.scores(_runs(spark, sf_dir))
 
 
-@query(f"WITH r AS (SELECT * FROM ({_RUNS}) WHERE chunk % 3 = 0), k AS (SELECT DISTINCT unnest([chunk - 1, chunk + 1]) AS chunk FROM r) SELECT chunk FROM k WHERE chunk BETWEEN 1 AND 40 AND chunk NOT IN (SELECT chunk FROM r)")
+_TWICE = "SELECT (2 * l_quantity::INTEGER) AS chunk, l_extendedprice AS speed FROM lineitem"
+
+
+@query(f"WITH s AS (SELECT chunk, avg(speed) AS s FROM ({_TWICE}) GROUP BY chunk), kept AS (SELECT chunk FROM s WHERE round(s / (SELECT max(s) FROM s) * 1000000)::BIGINT >= 1000000 - 200000), k AS (SELECT DISTINCT unnest([chunk - 1, chunk + 1]) AS chunk FROM kept) SELECT chunk FROM k WHERE chunk BETWEEN 1 AND 90 AND chunk NOT IN (SELECT chunk FROM s)")
 def chunk_neighbors(spark, sf_dir):
-    r = _runs(spark, sf_dir).where("chunk % 3 = 0")
-    return tune.neighbours(r, r, 40)
+    """Neighbours of the runs' survivors that no run has measured; all runs count, their chunks being even."""
+    r = _runs(spark, sf_dir).withColumn("chunk", 2 * F.col("chunk"))
+    return tune.neighbours(tune.survivors(tune.scores(r), tune.tolerance(tune.Options(), -1)), r, 90)
 
 
 @query(f"WITH s AS (SELECT chunk, max(speed) AS s FROM ({_RUNS}) GROUP BY chunk) SELECT chunk, round(s / (SELECT max(s) FROM s) * 1000000)::BIGINT AS score FROM s ORDER BY score DESC, chunk LIMIT 5")
@@ -290,13 +328,19 @@ def broadcast_output(spark, sf_dir):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL")
 def distributed_output(spark, sf_dir):
-    return _read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    """Each rank (here the rows of one flag and status) keeps its own result; nothing is combined over ranks."""
+    columns = ("l_returnflag", "l_linestatus", "l_quantity")
+    flat = Problem(columns, lambda: F.lit(True), lambda: F.array().cast("array<struct<l_returnflag: string, l_linestatus: string, l_quantity: double>>"))
+    body = Body({"n": lambda: F.lit(1).cast("long"), "quantity": lambda: F.col("l_quantity")}, {"n": F.sum, "quantity": F.sum})
+    rank = F.struct("l_returnflag", "l_linestatus")
+    out = evaluate(_read(spark, sf_dir, "lineitem").select(*columns), flat, body, behavior=Behavior.DISTRIBUTED_INPUT | Behavior.DISTRIBUTED_OUTPUT, rank=rank).value
+    return out.select("rank.l_returnflag", "rank.l_linestatus", "n", "quantity")
 
 
 @query("SELECT max(n) AS most, min(n) AS least FROM (SELECT count(*) AS n FROM events GROUP BY event_type)")
 def user_post(spark, sf_dir):
-    partial = _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return loops.distributed_post(partial, lambda p: p.agg(F.max("n").alias("most"), F.min("n").alias("least")))
+    post = lambda partial: partial.agg(F.max("n").alias("most"), F.min("n").alias("least"))
+    return loops.distributed_post(_read(spark, sf_dir, "events"), {"n": F.count(F.lit(1))}, post, F.col("event_type"))
 
 
 @query("WITH RECURSIVE t(n) AS (SELECT 12 UNION ALL SELECT n - k FROM t, (VALUES (1), (2)) v(k) WHERE n >= 2) SELECT count(*) FILTER (n < 2) AS leaves, count(*) FILTER (n >= 2) AS inner_nodes FROM t")
@@ -310,7 +354,9 @@ def nonbase_contrib(spark, sf_dir):
 
 @query("SELECT label, vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings")
 def ranged_problem(spark, sf_dir):
-    """Vectors with their place within their label's own range."""
-    e = _read(spark, sf_dir, "embeddings")
+    """Vectors with their place within their label's own range, counted from where that range starts."""
+    e = ranges.with_position(_read(spark, sf_dir, "embeddings"), "label", "vec_id")
+    starts = e.groupBy("label").agg(F.min("pos").alias("start"))
+    e = e.join(F.broadcast(starts), "label")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return e.select("label", "vec_id", F.round(norm, 4).alias("norm"), F.dense_rank().over(Window.partitionBy("label").orderBy("vec_id")).cast("long").alias("place"))
+    return e.select("label", "vec_id", F.round(norm, 4).alias("norm"), (F.col("pos") - F.col("start") + 1).alias("place"))
