@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm._arrow import limit_batches, schema
+from coppice.llm._arrow import limit_batches, other_columns, schema
 from coppice.llm._chunks import ChunkCache, Generations
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
@@ -140,7 +140,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, pat
     limit_batches(spark)
     path = path or public_tokenizers.path(MULTI)
     model = spark.sparkContext.broadcast(Bpe(read_ranks(path), pattern))
-    others = [c for c in docs.columns if c not in (text_col, "ids", "decoded")]
+    others = other_columns(docs, text_col, "ids", "decoded")
     frame = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = T.StructType([frame.schema["rest"], *schema("ids binary, decoded binary")])
     key = f"{path}\n{pattern}"

@@ -6,17 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.plans.lineage import cut
+from coppice.plans.skew import HOT, join_hot
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m, n): each node's least neighbour and its number of edges."""
+    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _join(edges: DataFrame, least: DataFrame, hubs: bool) -> DataFrame:
+    """`edges` with their node's `m`."""
+    one = least.select("a", "m")
+    return join_hot(edges, one, "a", least.where(F.col("n") > HOT).select("a")) if hubs else edges.join(one, "a")
+
+
+def _large_star(edges: DataFrame, hubs: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = _least(both).withColumn("m", F.least("a", "m"))
+    return _join(both, least, hubs).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(edges: DataFrame, hubs: bool) -> DataFrame:
+    least = _least(edges)
+    moved = _join(edges, least, hubs).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -24,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     """`edges` (a long, b long) to (node long, root long), root being the smallest node reachable.
 
     Nodes without an edge to another node are left out.  Each round takes a few shuffles of the edges; the number of
-    rounds grows with the logarithm of the longest chain.  A hub's edges are never gathered: joins and minima only.
+    rounds grows with the logarithm of the longest chain.  Minima are combined before they are moved, and the joins deal
+    a hub's edges to several tasks, so no task gets all of them.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if edges.isEmpty():
@@ -35,7 +48,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = mark(edges)
     while True:
-        edges = cut(_small_star(_large_star(edges)))
+        hubs = before[0] > HOT  # only so many edges can hold a hub
+        large = _large_star(edges, hubs)
+        edges = cut(_small_star(cut(large) if hubs else large, hubs))
         now = mark(edges)
         if now == before:
             break

@@ -6,7 +6,8 @@ where all sequences with the same contents are one group with a count.  Each len
 plan has at most a few thousand groups; its slots are broadcast (rows are bounded by LENGTH, not by the data).
 
 Pieces then take slots by rank within their length.  A length may be that of a third of all pieces, so ranks are
-counted in two steps: within (length, bucket) by a window, plus the bucket's offset from the histogram.
+counted in two steps: within (length, bucket) by a window, plus the bucket's offset from a count.  A length has a bucket
+for each CELL of its pieces, which are dealt by a number of their own, whatever their ids.
 
 Defined cases: null text counts as empty and becomes the one id 0; repeated rows are packed as often as they occur; an
 empty table gives an empty result; other columns are not carried.
@@ -35,7 +36,7 @@ from coppice.plans.lineage import cut
 
 LENGTH = 2048
 END = 0
-BUCKETS = 64
+CELL = 1 << 15  # pieces of a length and bucket, about: n pieces have n / CELL + LENGTH buckets at most
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json as ranks
 ADDED = "byte_bpe_50k.json"  # lists the added tokens, which the ranks lack
 
@@ -164,19 +165,31 @@ _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, ids
 def pack(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     """`parts` (as `pieces` gives them) with sequence_id and offset."""
     spark = parts.sparkSession
-    parts = cut(parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")))
-    offsets = np.zeros((length + 1, BUCKETS), np.int64)
-    for r in parts.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():  # LENGTH * BUCKETS rows at most
-        offsets[r["length"], r["bucket"]] = r["n"]
-    total = offsets.sum(axis=1)
-    table = slots(plan({i: int(n) for i, n in enumerate(total) if n}, length))
-    shared = spark.sparkContext.broadcast((np.cumsum(offsets, axis=1) - offsets, table))
+    parts = cut(parts.withColumn("spread", F.xxhash64(F.monotonically_increasing_id())))  # written, so it never changes
+    total = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # LENGTH rows at most
+    table = slots(plan(total, length))
+    buckets = np.ones(length + 1, np.int64)
+    for size, n in total.items():
+        buckets[size] = -(-n // CELL)
+    wide = [(int(k), int(n)) for k, n in enumerate(buckets) if n > 1]
+    bucket = F.lit(0)
+    if wide:
+        many = spark.createDataFrame(wide, "length long, buckets long")
+        parts = parts.join(F.broadcast(many), "length", "left")
+        bucket = F.pmod("spread", F.coalesce("buckets", F.lit(1))).cast("int")
+    parts = parts.withColumn("bucket", bucket)
+    first = np.cumsum(buckets) - buckets
+    counts = np.zeros(int(buckets.sum()), np.int64)
+    for r in parts.where(F.col("bucket") >= 0).groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).collect() if wide else ():
+        counts[first[r["length"]] + r["bucket"]] = r["n"]
+    running = np.cumsum(counts) - counts
+    shared = spark.sparkContext.broadcast((first, running - running[first.repeat(buckets)], table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, t = shared.value
+        first, before, t = shared.value
         for batch in batches:
             size, bucket, rank = (batch.column(batch.schema.names.index(c)).to_numpy() for c in ("length", "bucket", "rank"))
-            rank = before[size, bucket] + rank - 1
+            rank = before[first[size] + bucket] + rank - 1
             lo, hi = np.searchsorted(t["size"], size, "left"), np.searchsorted(t["size"], size, "right")
             while (wide := lo + 1 < hi).any():  # the last slot of the length whose first rank isn't beyond
                 mid = np.where(wide, (lo + hi) // 2, lo)
@@ -186,8 +199,8 @@ def pack(parts: DataFrame, length: int = LENGTH) -> DataFrame:
             sequence, offset = t["sequence"][lo] + k // t["fit"][lo], t["offset"][lo] + k % t["fit"][lo] * size
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sequence), pa.array(offset)], names=[x.split(" ")[0] for x in _PLACED.split(", ")])
 
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
-    return parts.withColumn("rank", F.row_number().over(order)).mapInArrow(run, schema(_PLACED))
+    order = Window.partitionBy("length", "bucket").orderBy("spread")
+    return parts.select(*[x.split(" ")[0] for x in _PIECES.split(", ")], "bucket", F.row_number().over(order).alias("rank")).mapInArrow(run, schema(_PLACED))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, path: str | None = None, keep_ids: bool = False, added: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm._arrow import limit_batches
+from coppice.llm._arrow import limit_batches, other_columns
 
 
 class Rule(NamedTuple):
@@ -219,7 +219,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
     """`docs` without its text, with `found` (array of kind, start, end; by start, then rule) and `redacted` (the text
     with the spans replaced)."""
     limit_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c not in (text_col, "found", "redacted")]
+    others = other_columns(docs, text_col, "found", "redacted")
     frame = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text"))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     out = T.StructType([frame.schema["rest"], T.StructField("found", T.ArrayType(span)), T.StructField("redacted", T.StringType())])

@@ -7,7 +7,8 @@ uses the half-vectors as cells: each fingerprint goes to its own cell and to the
 rows a half); fingerprints meet in a cell if their halves are within 1.  Candidates are then filtered by the Manhattan
 bound over all segments and verified by the exact Hamming distance.
 
-Skew: documents with equal fingerprints are one node from the start, so copies cost nothing.  Cells with one
+Skew: documents with equal fingerprints are one node from the start, so copies cost nothing; the join that gives them
+their component deals the rows of a common fingerprint to several tasks.  Cells with one
 fingerprint are dropped before any join.  A cell with more than CELL fingerprints is cut into chunks, and each pair of
 chunks is verified by a task of its own: memory stays bounded and no pair is lost.  Tasks emit a spanning forest of the
 links that they find, never all pairs.
@@ -28,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm._arrow import limit_batches, schema
+from coppice.llm._arrow import limit_batches, other_columns, schema
 from coppice.llm.graph import components
 from coppice.plans.lineage import cut
+from coppice.plans.skew import HOT, join_hot
 
 RADIUS = 3
 SEED = 42
@@ -70,7 +72,7 @@ def _majority(hashes: list[np.ndarray]) -> np.ndarray:
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3) -> DataFrame:
     """`docs` with its text replaced by `fp`, the fingerprint's 64 bits as a long."""
     limit_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c not in (text_col, "fp")]
+    others = other_columns(docs, text_col, "fp")
     frame = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = T.StructType([frame.schema["rest"], T.StructField("fp", T.LongType())])
 
@@ -210,12 +212,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """`docs` without its text, with `fp` (long) and `component_id` (the smallest id reachable over links).  Components
     may share that id if ids repeat; `root` adds `root_fp`, a fingerprint that tells them apart."""
     fps = cut(fingerprints(docs, text_col, words))
-    distinct = cut(fps.groupBy("fp").agg(F.min(id_col).alias("least_id")))
+    distinct = cut(fps.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count(F.lit(1)).alias("copies")))
     tree = components(links(distinct.select("fp")))
     joined = distinct.join(tree, distinct["fp"] == tree["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = joined.join(ids, "root").select("fp", "component_id", *([F.col("root").alias("root_fp")] if root else []))
-    return fps.drop("component_id").join(named, "fp")
+    out = fps.select(*other_columns(fps, "component_id", *(["root_fp"] if root else [])))
+    return join_hot(out, named, "fp", distinct.where(F.col("copies") > HOT).select("fp"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -206,23 +206,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([t for t, _ in rows], [y for _, y in rows], counts.get(1, 0) / total if total else 0.0)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` (with its text) and `score`, 0 to 1."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """`docs` and `score`, 0 to 1; without `keep_text` the text is left out."""
     limit_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = other_columns(docs, "score")
-    frame = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = T.StructType([frame.schema["rest"], T.StructField("score", T.DoubleType())])
+    others = other_columns(docs, text_col, "score")
+    frame = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out = T.StructType([frame.schema["rest"], *([frame.schema["text"]] if keep_text else []), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(texts), pa.float64())], names=["rest", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + keep_text], pa.array(shared.value.scores(texts), pa.float64())], names=out.names)
 
-    return frame.mapInArrow(run, out).select(*(F.col("rest").getField(c).alias(c) for c in others), "score")
+    names = [c for c in docs.columns if c in others or (keep_text and c.lower() == text_col.lower())]
+    return frame.mapInArrow(run, out).select(*((F.col("rest").getField(c) if c in others else F.col("text")).alias(c) for c in names), "score")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, model, keep_text=False).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.llm._arrow import limit_batches
+from coppice.llm._arrow import limit_batches, other_columns
 
 MOST_BYTES = 512 << 20
+SALTS = 16
 _host_end = re.compile(r"[/?#]")
 _path_end = re.compile(r"[?#]")
 
@@ -146,9 +147,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url",
     limit_batches(spark)
     data = DigestArray.pack(rules)
     if len(data) > MOST_BYTES:
-        raise ValueError(f"the rules take {len(data)} bytes, over {MOST_BYTES}; use judge_by_join")
+        return judge_by_join(pages, spark.createDataFrame(rules, "rule string, verdict string"), url_col, default)
     name = _ship(spark, data)
-    others = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    others = other_columns(pages, "host", "path", "rule", "verdict")
     frame = pages.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(f"`{url_col}`").cast("string").alias("url"))
     text = T.StringType()
     out = T.StructType([frame.schema["rest"], *(T.StructField(c, text) for c in ("host", "path", "rule", "verdict"))])
@@ -170,11 +171,12 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, url_col: str = "url", defa
     """The same for rules (columns rule, verdict) of any number: candidates meet rules in a shuffle join.
 
     The lengths of rules' paths are collected (distinct numbers only)."""
+    others = other_columns(pages, "host", "path", "rule", "verdict")
     url = F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))
     rest = F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    base = pages.drop("host", "path", "rule", "verdict").withColumn("host", F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), upper, lower))
-    base = base.withColumn("path", F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)?", 1)).withColumn("__row", F.xxhash64("host", "path"))
+    base = pages.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), rest.alias("url"))
+    base = base.select("rest", F.translate(F.regexp_extract("url", r"^([^/?#]*)", 1), upper, lower).alias("host"), F.regexp_extract("url", r"^[^/?#]*(/[^?#]*)?", 1).alias("path"))
     one = rules.groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("block"))
     rule_path = F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1)
     lengths = [r[0] for r in one.select(F.char_length(rule_path)).distinct().collect()]
@@ -183,11 +185,14 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, url_col: str = "url", defa
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.array(*(F.when(F.char_length("path") >= n, F.substring("path", 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>")
     tries = sites.withColumn("s", F.explode(suffixes)).withColumn("p", F.explode(F.filter(starts, lambda x: x.isNotNull())))
-    hits = tries.withColumn("rule", F.concat("s", "p")).join(one, "rule")
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule").alias("n"), F.char_length("s").alias("h"), "rule", "block")).alias("b"))
-    out = base.drop("__row").join(best, ["host", "path"], "left")
-    others = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return out.select(*others, "host", "path", F.col("b.rule").alias("rule"), F.when(F.col("b.block"), "block").when(~F.col("b.block"), "allow").otherwise(default).alias("verdict"))
+    # all sites of a common rule (or pages of a common site) would meet in one place: each is dealt to SALTS
+    salt = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    hits = tries.select("host", "path", "s", F.concat("s", "p").alias("rule"), salt("host", "path")).join(one.select("rule", "block", salts), ["rule", "salt"])
+    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule").alias("n"), F.char_length("s").alias("h"), "rule", "block")).alias("best"))
+    out = base.withColumn("salt", F.pmod(F.xxhash64("rest"), F.lit(SALTS)).cast("int")).join(best.select("host", "path", "best", salts), ["host", "path", "salt"], "left")
+    verdict = F.when(F.col("best.block"), "block").when(~F.col("best.block"), "allow").otherwise(default)
+    return out.select(*(F.col("rest").getField(c).alias(c) for c in others), "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
 
 
 # Fixed values.
