@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def mean(x: Column) -> Column:
-    return F.coalesce(F.avg(x), F.lit(0.0))
+def mean(x: Column, integral: bool = False) -> Column:
+    """`integral`: rounded to the nearest whole number, as for whole numbers."""
+    out = F.coalesce(F.avg(x), F.lit(0.0))
+    return F.round(out).cast("long") if integral else out
 
 
 def harmonic_mean(x: Column) -> Column:
@@ -18,5 +20,6 @@ def geometric_mean(x: Column) -> Column:
     return F.coalesce(F.exp(F.avg(F.ln(x))), F.lit(0.0))
 
 
-def median(x: Column) -> Column:
-    return F.coalesce(F.median(x), F.lit(0.0))
+def median(x: Column, integral: bool = False) -> Column:
+    out = F.coalesce(F.median(x), F.lit(0.0))
+    return F.round(out).cast("long") if integral else out

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coppice.functions import random as rnd
-from coppice.operators.problem import Body, Problem, indices
+from coppice.operators.problem import Body, Problem, Serial, indices
+from coppice.plans import granularity
 from coppice.plans.frontier import fold, levels, tree_reduce
 from coppice.plans.lineage import cut
 
@@ -97,16 +100,47 @@ def tree_add(spark: SparkSession, depth: int) -> DataFrame:
 
 
 def knapsack(items: DataFrame, capacity: int) -> DataFrame:
-    """The best value, taking items in order: a level's states are (weight, best value), dominated ones dropped.
+    """The best value within `capacity`: states are (weight, best value), dominated ones dropped.
 
-    `items`: k, value, weight.  States number at most capacity + 1; the items (one job each) are read in order.
+    `items`: k, value, weight (no weight is negative).  Blocks of items are solved within tasks and joined pairwise, as the
+    best values of a union of items come from those of its parts.  A block's states number at most capacity + 1.
     """
     spark = items.sparkSession
-    states = spark.createDataFrame([(0, 0)], "w long, v long")
-    for r in items.orderBy("k").select("value", "weight").toLocalIterator():
-        taken = states.select((F.col("w") + r["weight"]).alias("w"), (F.col("v") + r["value"]).alias("v")).where(F.col("w") <= capacity)
-        states = cut(states.unionByName(taken).groupBy("w").agg(F.max("v").alias("v")).coalesce(4))
-    return states.agg(F.max("v").alias("best"))
+    low = -(1 << 62)
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The best value of a block's own items for each weight: at most capacity + 1 numbers, whatever the block."""
+        held = np.full(capacity + 1, low, np.int64)
+        held[0] = 0
+        for f in frames:
+            for w, v in zip(f["weight"], f["value"]):
+                if w <= capacity:
+                    held[w:] = np.maximum(held[w:], held[: capacity + 1 - w] + v)
+        at = np.flatnonzero(held > low // 2)
+        yield pd.DataFrame({"w": at, "v": held[at]})
+
+    def join(f: pd.DataFrame) -> pd.DataFrame:
+        held = None
+        for _, block in f.sort_values("block").groupby("block"):
+            own = np.full(capacity + 1, low, np.int64)
+            own[block["w"]] = block["v"]
+            if held is None:
+                held = own
+                continue
+            out = np.full(capacity + 1, low, np.int64)
+            for w in np.flatnonzero(own > low // 2):
+                out[w:] = np.maximum(out[w:], held[: capacity + 1 - w] + own[w])
+            held = out
+        at = np.flatnonzero(held > low // 2)
+        return pd.DataFrame({"block": int(f["block"].iloc[0]) // 2, "w": at, "v": held[at]})
+
+    small = items.where(F.col("weight") <= capacity).select(F.col("value").cast("long"), F.col("weight").cast("long"))
+    blocks = max(1, min(1024, spark.sparkContext.defaultParallelism * 2))
+    states = cut(small.repartition(blocks).mapInPandas(best, "w long, v long").withColumn("block", F.spark_partition_id()))
+    while blocks > 1:  # pairs of blocks join, each within a task that holds their states only
+        blocks = -(-blocks // 2)
+        states = cut(states.groupBy(F.floor(F.col("block") / 2)).applyInPandas(join, "block int, w long, v long"))
+    return states.agg(F.coalesce(F.max("v"), F.lit(0)).cast("long").alias("best"))
 
 
 def topological_orders(edges: DataFrame, n: int) -> DataFrame:
@@ -122,7 +156,8 @@ def topological_orders(edges: DataFrame, n: int) -> DataFrame:
 
 
 def order_search(edges: DataFrame, n: int) -> DataFrame:
-    """The same number by reverse search over permutations: children are adjacent swaps whose own parent is this one."""
+    """The same number by reverse search over permutations: children are adjacent swaps whose own parent is this one.
+    Which swaps these are (`turn`) is part of the problem: it fixes the search tree."""
     pairs = [tuple(r) for r in edges.select("i", "j").collect()]
     ban = F.array(*(F.lit(i * (n + 1) + j) for i, j in pairs)) if pairs else F.array().cast("array<int>")
 
@@ -141,47 +176,127 @@ def order_search(edges: DataFrame, n: int) -> DataFrame:
     return out.select(F.col("orders").cast("long").alias("orders"))
 
 
-def unbalanced_tree(spark: SparkSession, b0: float, depth: int, seed: int, shape: str = "fixed") -> DataFrame:
-    """(nodes, leaves, height) of a geometric random tree; children's states come from SHA-1."""
-
-    def pre(df: DataFrame) -> DataFrame:
-        mean = {"fixed": F.lit(b0), "linear": b0 * (1 - F.col("height") / depth)}[shape]
-        b = F.when(F.col("height") == 0, F.lit(b0)).when(F.col("height") < depth, mean).otherwise(0.0) if shape == "fixed" else F.when(F.col("height") < depth, mean).otherwise(0.0)
-        u = rnd.sha_uniform(F.col("state"))
-        kids = F.floor(F.ln(1 - u) / F.ln(1 - 1 / (1 + F.col("b")))).cast("int")
-        return df.withColumn("b", b).withColumn("kids", F.when(F.col("b") > 0, F.least(F.lit(100), kids)).otherwise(0))
-
-    problem = Problem(("state", "height"), lambda: F.col("kids") == 0, lambda: F.transform(indices(F.col("kids")), lambda i: F.struct(rnd.sha_child(F.col("state"), i).alias("state"), (F.col("height") + 1).alias("height"))), pre)
-    one = lambda x: lambda: F.lit(x)
-    body = Body({"nodes": one(1), "leaves": one(1), "height": lambda: F.col("height")}, {"nodes": F.sum, "leaves": F.sum, "height": F.max}, {"nodes": one(1), "leaves": one(0), "height": lambda: F.col("height")})
-    root = spark.range(1).select(rnd.sha_root(seed).alias("state"), F.lit(0).alias("height"))
-    return fold(root, problem, body).select(*(F.col(c).cast("long").alias(c) for c in ("nodes", "leaves", "height")))
+BINOMIAL, GEOMETRIC, HYBRID, BALANCED = "binomial", "geometric", "hybrid", "balanced"
+MOST_KIDS = 100
+
+
+@dataclass(frozen=True)
+class UtsParams:
+    """Parameters of an unbalanced tree; the letters are those of the usual command line."""
+
+    kind: str = GEOMETRIC  # t
+    shape: str = "linear"  # a: linear, expdec, cyclic or fixed
+    depth: int = 6  # d: where geometric trees end
+    b0: float = 4.0  # b: mean number of children (the root's own number in a binomial tree)
+    q: float = 15 / 64  # chance of a binomial inner node
+    m: int = 4  # its children
+    shift: float = 0.5  # f: share of the depth at which a hybrid tree turns binomial
+    seed: int = 0  # r
+
+    @classmethod
+    def parse(cls, line: str) -> UtsParams:
+        """Of an option line such as `-t 1 -a 3 -d 10 -b 4 -r 19`."""
+        kinds, shapes = (BINOMIAL, GEOMETRIC, HYBRID, BALANCED), ("linear", "expdec", "cyclic", "fixed")
+        words, found = line.split(), {}
+        for option, value in zip(words[::2], words[1::2]):
+            key = {"-t": "kind", "-a": "shape", "-d": "depth", "-b": "b0", "-q": "q", "-m": "m", "-f": "shift", "-r": "seed"}.get(option)
+            if key is None:
+                raise ValueError(f"unknown option {option}")
+            found[key] = kinds[int(value)] if key == "kind" else shapes[int(value)] if key == "shape" else int(value) if key in ("depth", "m", "seed") else float(value)
+        return cls(**found)
+
+    def mean(self, height: int) -> float:
+        """The mean number of children of a geometric node."""
+        if not height:
+            return self.b0
+        if self.shape == "expdec":
+            return self.b0 * height ** (-math.log(self.b0) / math.log(self.depth))
+        if self.shape == "cyclic":
+            return 0.0 if height > 5 * self.depth else self.b0 ** math.sin(2 * math.pi * height / self.depth)
+        if self.shape == "fixed":
+            return self.b0 if height < self.depth else 0.0
+        return self.b0 * (1 - height / self.depth)
+
+    def kids(self, state: bytes, height: int) -> int:
+        """The number of children of a node."""
+        if self.kind == BALANCED:
+            return int(self.b0) if height < self.depth else 0
+        if self.kind == BINOMIAL and not height:
+            return int(self.b0)
+        u = rnd.uniform(state)
+        if self.kind == BINOMIAL or (self.kind == HYBRID and height >= self.shift * self.depth):
+            return min(MOST_KIDS, self.m if u < self.q else 0)
+        b = self.mean(height)
+        return min(MOST_KIDS, math.floor(math.log(1 - u) / math.log(1 - 1 / (1 + b)))) if b > 0 else 0
+
+    def kids_column(self) -> Column:
+        """The same over columns state and height."""
+        h, u = F.col("height"), rnd.sha_uniform(F.col("state"))
+        if self.kind == BALANCED:
+            return F.when(h < self.depth, int(self.b0)).otherwise(0)
+        twofold = F.when(u < self.q, min(MOST_KIDS, self.m)).otherwise(0)
+        if self.kind == BINOMIAL:
+            return F.when(h == 0, int(self.b0)).otherwise(twofold)
+        shapes = {
+            "expdec": lambda: self.b0 * F.pow(h, F.lit(-math.log(self.b0) / math.log(self.depth))),
+            "cyclic": lambda: F.when(h > 5 * self.depth, 0.0).otherwise(F.pow(F.lit(self.b0), F.sin(2 * math.pi * h / self.depth))),
+            "fixed": lambda: F.when(h < self.depth, self.b0).otherwise(0.0),
+            "linear": lambda: self.b0 * (1 - h / self.depth),
+        }
+        b = F.when(h == 0, self.b0).otherwise(shapes[self.shape]())
+        kids = F.when(b > 0, F.least(F.lit(MOST_KIDS), F.floor(F.ln(1 - u) / F.ln(1 - 1 / (1 + b))))).otherwise(0)
+        return F.when(h >= self.shift * self.depth, twofold).otherwise(kids) if self.kind == HYBRID else kids
+
+    def problem(self) -> Problem:
+        """The tree with nodes (state, height, kids)."""
+
+        def children() -> Column:
+            none = F.lit(None).cast("int").alias("kids")
+            return F.transform(indices(F.col("kids")), lambda i: F.struct(rnd.sha_child(F.col("state"), i).alias("state"), (F.col("height") + 1).alias("height"), none))
+
+        serial = Serial(
+            lambda x: not x["kids"], lambda x: [{"state": rnd.child(x["state"], i), "height": x["height"] + 1, "kids": None} for i in range(int(x["kids"]))],
+            lambda x: {"nodes": 1, "leaves": 1, "tall": x["height"]}, lambda x: {"nodes": 1, "leaves": 0, "tall": x["height"]}, pre=lambda x: {**x, "kids": self.kids(x["state"], int(x["height"]))},
+        )
+        pre = lambda df: df.withColumn("kids", self.kids_column().cast("int"))
+        return Problem(("state", "height", "kids"), lambda: F.col("kids") == 0, children, pre, serial=serial)
+
+
+def unbalanced_tree(spark: SparkSession, params: UtsParams, partitioner: str = "automatic", budget: int = granularity.BUDGET) -> DataFrame:
+    """(nodes, leaves, height) of a random tree whose nodes' states come from SHA-1.
+
+    The top levels are rows; sub-trees end within tasks, each at most `budget` nodes at a time, as trees are very uneven."""
+    root = spark.createDataFrame([(bytearray(rnd.root(params.seed)), 0, None)], "state binary, height int, kids int")
+    values = T.StructType([T.StructField(k, T.LongType()) for k in ("nodes", "leaves", "tall")])
+    rows = granularity.contributions(root, params.problem(), values, partitioner, budget=budget)
+    return rows.agg(F.sum("nodes").alias("nodes"), F.sum("leaves").alias("leaves"), F.max("tall").alias("height"))
 
 
 def gaussian_pairs(spark: SparkSession, log2_pairs: int, batch: int = 1 << 12, seed: int = 271828183) -> DataFrame:
     """Sums of Gaussian deviates and counts by annulus, from pairs of 46-bit congruential numbers.
 
-    Each batch jumps to its own place of the sequence, so batches are independent."""
-    batches = max(1, (1 << log2_pairs) // batch)
+    Each batch (the last may be shorter) jumps to its own place of the sequence, so batches are independent."""
+    pairs = 1 << log2_pairs
+    batches = -(-pairs // batch)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps = rnd.lcg_powers(2 * batch)
         for f in frames:
             rows = []
             for k in f["id"]:
-                x, u = rnd.lcg_jump(seed, 2 * int(k) * batch), np.empty(2 * batch)
-                for i in range(2 * batch):
-                    x = rnd.lcg(x)
-                    u[i] = x
+                n = min(batch, pairs - int(k) * batch)
+                u = rnd.lcg_many(rnd.lcg_jump(seed, 2 * int(k) * batch), steps[: 2 * n])
                 p = 2 * u.reshape(-1, 2) / rnd.MODULUS - 1
                 t = (p**2).sum(axis=1)
                 p, t = p[t <= 1], t[t <= 1]
                 g = p * np.sqrt(-2 * np.log(t) / t)[:, None]
-                q = np.bincount(np.abs(g).max(axis=1).astype(int), minlength=10)[:10]
+                q = np.bincount(np.abs(g).max(axis=1).astype(int), minlength=10)[:10] if len(g) else np.zeros(10, int)
                 rows.append((g[:, 0].sum(), g[:, 1].sum(), *q.tolist()))
             yield pd.DataFrame(rows, columns=["sx", "sy", *(f"q{i}" for i in range(10))])
 
     counts = [f"q{i}" for i in range(10)]
-    out = spark.range(0, batches, 1, min(batches, 64)).mapInPandas(run, "sx double, sy double, " + ", ".join(f"{q} long" for q in counts))
+    tasks = min(batches, max(spark.sparkContext.defaultParallelism, batches // 256))
+    out = spark.range(0, batches, 1, tasks).mapInPandas(run, "sx double, sy double, " + ", ".join(f"{q} long" for q in counts))
     return out.agg(F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), *(F.sum(q).alias(q) for q in counts))
 
 
@@ -294,6 +409,13 @@ def advance(bodies: DataFrame, acc: DataFrame, dt: float) -> DataFrame:
     return out.select(*bodies.columns)
 
 
+def simulate(bodies: DataFrame, steps: int, dt: float, tol: float = 0.5, eps: float = 0.05) -> DataFrame:
+    """`bodies` (id, mass, positions, velocities) after `steps` leapfrog steps; each step's bodies are cut."""
+    for _ in range(steps):
+        bodies = cut(advance(bodies, accelerations(bodies, tol, eps), dt))
+    return bodies
+
+
 def _tour(points: np.ndarray) -> np.ndarray:
     """Order of a tour by closest-point insertion."""
     tour = [0]
@@ -353,20 +475,75 @@ def tsp(points: DataFrame, leaf: int = 150, depth: int | None = None) -> DataFra
     return tours.select(F.posexplode("tour").alias("pos", "p")).select("pos", "p.id", "p.x", "p.y")
 
 
-def floorplan(spark: SparkSession, cells: list[tuple[list[tuple[int, int]], int, int]]) -> DataFrame:
-    """The least area of a rectangle that holds all cells, each ((rows, columns) alternatives, left, above).
-
-    Cells are numbered from 1 and placed in order: right of `left`, below `above` (0: at the edge), at the least place
-    that touches neither.  A level's states keep placed rectangles; the best finished area of other branches doesn't
-    exist before the last level, so states are bounded by dominance of nothing but equality."""
-    place = "array<struct<top: int, left: int, bottom: int, right: int>>"
-    states = spark.sql(f"select cast(array() as {place}) as placed")
-    for shapes, left, above in cells:
-        x = F.get("placed", left - 1)["right"] + 1 if left else F.lit(0)
-        y = F.get("placed", above - 1)["bottom"] + 1 if above else F.lit(0)
-        options = F.array(*(F.struct(y.alias("top"), x.alias("left"), (y + r - 1).alias("bottom"), (x + c - 1).alias("right")) for r, c in shapes))
-        grown = states.select("placed", F.explode(options).alias("o"))
-        apart = F.forall("placed", lambda p: (p["bottom"] < F.col("o.top")) | (F.col("o.bottom") < p["top"]) | (p["right"] < F.col("o.left")) | (F.col("o.right") < p["left"]))
-        states = cut(grown.where(apart).select(F.concat("placed", F.array("o")).cast(place).alias("placed")).distinct())
-    edge = lambda k: F.array_max(F.transform("placed", lambda p: p[k])) + 1
-    return states.agg(F.min(edge("bottom") * edge("right")).cast("long").alias("area"))
+Cell = tuple[list[tuple[int, int]], int, int, int]  # (rows, columns) alternatives, left, above (-1: none, 0: edge), next (0: last)
+_EDGE = (0, 0, -1, -1)  # top, bottom, left and right side of what stands for the board's edge
+BOARD = 64
+
+
+def corners(rows: int, columns: int, left: tuple | None, above: tuple | None) -> list[tuple[int, int]]:
+    """Where a cell's upper left corner may lie, beside what is to its left and below what is above it."""
+    if left and above:
+        top, side = above[1] + 1, left[3] + 1
+        touches = top <= left[1] and top + rows >= left[0] and side <= above[3] and side + columns >= above[2]
+        return [(top, side)] if touches else []
+    if left:
+        return [(top, left[3] + 1) for top in range(max(left[0] - rows + 1, 0), min(left[1], BOARD) + 1)]
+    return [(above[1] + 1, side) for side in range(max(above[2] - columns + 1, 0), min(above[3], BOARD) + 1)]
+
+
+def placements(cells: list[Cell], placed: dict[int, tuple], at: int) -> list[dict[int, tuple]]:
+    """`placed` with cell `at` (from 1) added in every way that covers no other cell."""
+    shapes, left, above, _ = cells[at - 1]
+    side = lambda k: None if k < 0 else _EDGE if not k else placed[k]
+    out = []
+    for rows, columns in shapes:
+        for top, lhs in corners(rows, columns, side(left), side(above)):
+            box = (top, top + rows - 1, lhs, lhs + columns - 1)
+            if all(box[1] < o[0] or o[1] < box[0] or box[3] < o[2] or o[3] < box[2] for o in placed.values()):
+                out.append({**placed, at: box})
+    return out
+
+
+def footprint(placed: dict[int, tuple]) -> int:
+    return (max(b[1] for b in placed.values()) + 1) * (max(b[3] for b in placed.values()) + 1)
+
+
+def search_floorplan(cells: list[Cell], state: tuple[int, dict], best: int, budget: int) -> tuple[int, list[tuple[int, dict]]]:
+    """(least area found under `best`, states left open) of at most `budget` states, depth first, small areas first."""
+    stack, seen = [state], 0
+    while stack and seen < budget:
+        at, placed = stack.pop()
+        seen += 1
+        after = cells[at - 1][3]
+        grown = sorted(((footprint(p), k, p) for k, p in enumerate(placements(cells, placed, at))), reverse=True)
+        for area, _, p in grown:
+            if area < best and not after:
+                best = area
+            elif area < best:
+                stack.append((after, p))
+    return best, [(at, p) for at, p in stack if not p or footprint(p) < best]
+
+
+def floorplan(spark: SparkSession, cells: list[Cell], tasks: int | None = None, budget: int = 20_000) -> DataFrame:
+    """The least area of a rectangle that holds all cells, by branch and bound.
+
+    A short search on the driver gives the first bound and the states to deal out; each round, tasks search at most
+    `budget` states below theirs, and the next round takes the least area and the states still open under it."""
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    best, todo = search_floorplan(cells, (1, {}), (BOARD * BOARD) * 4, 50 * len(cells))
+    schema = "best long, at int, placed array<array<int>>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows, bound = [], int(f["best"].min()) if len(f) else 0
+            for at, placed in zip(f["at"], f["placed"]):
+                bound, left = search_floorplan(cells, (int(at), {int(x[0]): tuple(int(v) for v in x[1:]) for x in placed}), bound, budget)
+                rows += [(bound, a, [[k, *b] for k, b in p.items()]) for a, p in left]
+            yield pd.DataFrame([(bound, None, None), *rows], columns=["best", "at", "placed"], dtype=object)
+
+    rows = spark.createDataFrame([(best, at, [[k, *b] for k, b in p.items()]) for at, p in todo], schema)
+    while not rows.isEmpty():
+        done = cut(rows.repartition(tasks).mapInPandas(run, schema))
+        best = min(best, done.agg(F.min("best")).first()[0])
+        rows = done.where("at is not null").withColumn("best", F.lit(best).cast("long"))
+    return spark.createDataFrame([(best,)], "area long")

@@ -20,6 +20,7 @@ from coppice.plans.granularity import AUTOMATIC, CUSTOM, DEPTH, SERIAL, SIMPLE,
 from coppice.plans.lineage import cut
 
 BROADCAST_BYTES = 64 << 20
+VALUE = "__v_"  # names of contributions begin so, apart from the payload's
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ class Result:
 def replicated(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """`df` marked to be sent to every task if it has at most `most` bytes, by the size of its own files or plan; else as it
     is, so that joins shuffle."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= most else df
 
 
@@ -61,7 +62,7 @@ def _levels(roots: DataFrame, problem: Problem, body: Body, keep: tuple[str, ...
         inner = problem.pre_rec(rows.where("not __base"))
         for of, values in ((rows.where("__base"), body.base), (inner, body.non_base)):
             if values:
-                parts.append(of.select(*problem.payload, F.lit(depth).cast("long").alias(DEPTH), *keep, *(v().alias(k) for k, v in values.items())))
+                parts.append(of.select(*problem.payload, F.lit(depth).cast("long").alias(DEPTH), *keep, *(v().alias(VALUE + k) for k, v in values.items())))
         rows = frontier.expand_level(rows.where("not __base"), problem, keep)
         depth += 1
     return reduce(DataFrame.unionByName, parts)
@@ -69,7 +70,7 @@ def _levels(roots: DataFrame, problem: Problem, body: Body, keep: tuple[str, ...
 
 def _values(spark, problem: Problem, body: Body, roots: DataFrame) -> T.StructType:
     """The types of what base rows contribute."""
-    return problem.pre(roots.select(*problem.payload)).select(*(v().alias(k) for k, v in body.base.items())).schema
+    return problem.pre(roots.select(*problem.payload)).select(*(v().alias(VALUE + k) for k, v in body.base.items())).schema
 
 
 def evaluate(
@@ -96,14 +97,14 @@ def evaluate(
     elif dealt:
         tree = kept or Decomposition(problem, roots, policy, b)
         if body.non_base:
-            opened = [problem.pre_rec(f.where("not __base")).select(*problem.payload, F.lit(k).cast("long").alias(DEPTH), F.lit(0).alias(RANK), *(v().alias(n) for n, v in body.non_base.items())) for k, f in enumerate(tree.levels()[:-1])]
+            opened = [problem.pre_rec(f.where("not __base")).select(*problem.payload, F.lit(k).cast("long").alias(DEPTH), F.lit(0).alias(RANK), *(v().alias(VALUE + n) for n, v in body.non_base.items())) for k, f in enumerate(tree.levels()[:-1])]
             above = reduce(DataFrame.unionByName, opened) if opened else None
         roots = tree.dealt()
         roots = roots.repartitionByRange(policy.ranks, RANK) if b & Behavior.SCATTER else roots.repartition(policy.ranks, RANK)
     if partitioner == SIMPLE:
         rows = _levels(roots, problem, body, keep)
     else:
-        rows = granularity.contributions(roots, problem, _values(spark, problem, body, roots), partitioner, tasks, keep)
+        rows = granularity.contributions(roots, problem, _values(spark, problem, body, roots), partitioner, tasks, keep, prefix=VALUE)
     if above is not None:
         rows = rows.unionByName(above.select(*rows.columns))
     back = None
@@ -116,20 +117,21 @@ def evaluate(
 
 
 def _combined(rows: DataFrame, problem: Problem, body: Body, b: Behavior, policy: Policy, post: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    made = [make(k).alias(k) for k, make in body.combine.items()]
+    made = [make(VALUE + k).alias(k) for k, make in body.combine.items()]
+    again = [make(k).alias(k) for k, make in body.combine.items()]
     if post is not None:
         return post(rows.groupBy(RANK).agg(*made))
     if b & Behavior.DISTRIBUTED_OUTPUT:
         return rows.groupBy(RANK).agg(*made)
     if b & Behavior.GATHER:  # a struct for each rank, in the order of ranks
         listed = F.array_sort(F.collect_list(F.struct(RANK, *body.combine))).alias("gathered")
-        value = rows.groupBy(RANK).agg(*made).agg(listed, *([] if all_gathers(b) else made))
+        value = rows.groupBy(RANK).agg(*made).agg(listed, *([] if all_gathers(b) else again))
     elif b & Behavior.PRIORITIZE_DM:  # ranks combine as the tree does, level by level
         value, left = rows.groupBy(RANK).agg(*made), policy.ranks
         while left > 1:
             left = -(-left // max(2, problem.arity))
-            value = value.groupBy(F.floor(F.col(RANK) / max(2, problem.arity)).cast("int").alias(RANK)).agg(*made)
-        value = value.agg(*made)
+            value = value.groupBy(F.floor(F.col(RANK) / max(2, problem.arity)).cast("int").alias(RANK)).agg(*again)
+        value = value.agg(*again)
     else:
         value = rows.agg(*made)
     if b & Behavior.REPLICATE_OUTPUT:

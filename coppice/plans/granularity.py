@@ -67,9 +67,10 @@ def evaluate_serially(root: dict, serial: Serial, ready: bool = False) -> dict:
     return done[0]
 
 
-def finish_in_tasks(frontier: DataFrame, serial: Serial, values: T.StructType, keep: tuple[str, ...] = (), budget: int = BUDGET) -> DataFrame:
+def finish_in_tasks(frontier: DataFrame, serial: Serial, values: T.StructType, keep: tuple[str, ...] = (), budget: int = BUDGET, prefix: str = "") -> DataFrame:
     """Ends the sub-problems of `frontier` inside tasks: a row for each contribution, with FINISHED true, and one for each
-    node that `budget` left open.  Rows hold the node's columns, DEPTH (added to the frontier's own), `keep` and `values`."""
+    node that `budget` left open.  Rows hold the node's columns, DEPTH (added to the frontier's own), `keep` and `values`,
+    whose names are `prefix` and what the Python form calls them."""
     payload = [f for f in frontier.schema.fields if f.name not in (*keep, DEPTH, READY)]
     kept = [frontier.schema[k] for k in keep]
     schema = T.StructType([*payload, T.StructField(DEPTH, T.LongType()), *kept, T.StructField(FINISHED, T.BooleanType()), *values.fields])
@@ -82,7 +83,7 @@ def finish_in_tasks(frontier: DataFrame, serial: Serial, values: T.StructType, k
             for r in frame.to_dict("records"):
                 done, left = walk({k: r[k] for k in own}, serial, budget, r[READY])
                 rest = {k: r[k] for k in keep}
-                rows += [{**{k: n.get(k) for k in own}, DEPTH: r[DEPTH] + d, **rest, FINISHED: True, **v} for n, v, d in done]
+                rows += [{**{k: n.get(k) for k in own}, DEPTH: r[DEPTH] + d, **rest, FINISHED: True, **{prefix + k: x for k, x in v.items()}} for n, v, d in done]
                 rows += [{**n, DEPTH: r[DEPTH] + d, **rest, FINISHED: False, **none} for n, d in left]
                 if len(rows) >= BUDGET:
                     yield pd.DataFrame(rows, columns=names, dtype=object)
@@ -92,7 +93,7 @@ def finish_in_tasks(frontier: DataFrame, serial: Serial, values: T.StructType, k
     return frontier.select(*own, DEPTH, READY, *keep).mapInPandas(run, schema)
 
 
-def contributions(roots: DataFrame, problem: Problem, values: T.StructType, partitioner: str = AUTOMATIC, tasks: int | None = None, keep: tuple[str, ...] = (), budget: int = BUDGET) -> DataFrame:
+def contributions(roots: DataFrame, problem: Problem, values: T.StructType, partitioner: str = AUTOMATIC, tasks: int | None = None, keep: tuple[str, ...] = (), budget: int = BUDGET, prefix: str = "") -> DataFrame:
     """What the nodes of the trees under `roots` contribute, by the problem's Python form: (payload, DEPTH, keep, values).
 
     `automatic` deals out as many levels as give `tasks` sub-problems, `custom` those rows for which `do_parallel` holds,
@@ -119,11 +120,11 @@ def contributions(roots: DataFrame, problem: Problem, values: T.StructType, part
     out = []
     if inner_rows:
         alone = Serial(lambda node: True, lambda node: [], problem.serial.non_base)
-        out.append(finish_in_tasks(reduce(DataFrame.unionByName, inner_rows), alone, values, keep, budget).where(FINISHED))
+        out.append(finish_in_tasks(reduce(DataFrame.unionByName, inner_rows), alone, values, keep, budget, prefix).where(FINISHED))
     rest = reduce(DataFrame.unionByName, todo)
     rest = rest.repartition(tasks) if level else rest
     while True:
-        done = cut(finish_in_tasks(rest, problem.serial, values, keep, budget))
+        done = cut(finish_in_tasks(rest, problem.serial, values, keep, budget, prefix))
         out.append(done.where(FINISHED))
         open_ = done.where(~F.col(FINISHED))
         if open_.isEmpty():

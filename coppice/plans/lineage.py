@@ -27,23 +27,47 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, removed with the cuts."""
+    path = f"{shared_dir(spark)}/{name}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` evaluated once and kept as Parquet in the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = scratch(spark, f"cut-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written() -> int:
+    """How many files are kept now: a mark for `settle`."""
+    return len(_written)
+
+
+def settle(df: DataFrame, mark: int) -> DataFrame:
+    """`df` cut, and all files since `mark` removed but its own: frames that read them can't be used any more."""
+    out = cut(df)
+    own = _written.pop()
+    while len(_written) > mark:
+        _remove(*_written.pop())
+    _written.append(own)
+    return out
+
+
 def remove_cuts() -> None:
     """Delete what `cut` has written in sessions that still run (also called at exit)."""
     while _written:
-        spark, path = _written.pop()
-        sc = spark.sparkContext
-        if sc._jsc is not None:
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _remove(*_written.pop())
 
 
 atexit.register(remove_cuts)

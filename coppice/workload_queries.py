@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coppice.functions import stats
+from coppice.functions import random, stats
 from coppice.operators import balance, loops, ranges, workloads
 from coppice.operators.problem import Body, Problem
 from coppice.plans import frontier, granularity, tune
@@ -128,6 +128,7 @@ def center_of_mass(spark, sf_dir):
 
 @query()
 def barnes_hut_forces(spark, sf_dir):
+    """By the opening test; held against a plain octree in the tests."""
     return workloads.accelerations(_bodies(spark, sf_dir))
 
 
@@ -184,23 +185,47 @@ def hierarchy_rollup(spark, sf_dir):
     return out.select(region.alias("region"), F.when(F.col("depth") == 2, F.col("name")).alias("nation"), "n", F.round(F.col("total").cast("double"), 2).alias("total"))
 
 
-@query("WITH i AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS k, (10 + 7 * r_regionkey % 11)::BIGINT AS v, (3 + 5 * r_regionkey % 7)::BIGINT AS w FROM region), s AS (SELECT unnest(range(32)) AS mask), t AS (SELECT mask, sum(v) AS v, sum(w) AS w FROM s, i WHERE (mask >> k) & 1 = 1 GROUP BY mask) SELECT max(v)::BIGINT AS best FROM t WHERE w <= 15")
+@query("WITH RECURSIVE i AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS k, (10 + 7 * r_regionkey % 11)::BIGINT AS v, (3 + 5 * r_regionkey % 7)::BIGINT AS w FROM region), s AS (SELECT unnest(range(32)) AS mask), t AS (SELECT mask, sum(v) AS v, sum(w) AS w FROM s, i WHERE (mask >> k) & 1 = 1 GROUP BY mask) SELECT max(v)::BIGINT AS best FROM t WHERE w <= 15")
 def knapsack_items(spark, sf_dir):
+    """All subsets of five items, as the SQL has them; `knapsack_part` takes all of a table's."""
     r = _read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), (10 + 7 * F.col("r_regionkey") % 11).alias("value"), (3 + 5 * F.col("r_regionkey") % 7).alias("weight"))
     return workloads.knapsack(r, 15)
 
 
+def _items(spark, sf_dir) -> DataFrame:
+    p = _read(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("k"), (F.floor("p_retailprice") % 97 + 1).cast("long").alias("value"), (F.col("p_size") % 23 + 1).cast("long").alias("weight"))
+
+
+# States (weight, best value) as a list that each item in turn extends; lists are 1-based, weights are not.
+_KNAPSACK = "WITH RECURSIVE i AS (SELECT row_number() OVER (ORDER BY p_partkey) AS k, (floor(p_retailprice)::BIGINT % 97 + 1) AS v, (p_size % 23 + 1)::BIGINT AS w FROM part), s(k, best) AS (SELECT 0::BIGINT, list_concat([0::BIGINT], list_transform(range(60), lambda x: -1000000000000::BIGINT)) UNION ALL SELECT s.k + 1, list_transform(range(1, 62), lambda x: greatest(s.best[x], CASE WHEN x - i.w >= 1 THEN s.best[x - i.w] + i.v ELSE -1000000000000 END)) FROM s JOIN i ON i.k = s.k + 1) SELECT list_max(best)::BIGINT AS best FROM s ORDER BY k DESC LIMIT 1"
+
+
+@query(_KNAPSACK)
+def knapsack_part(spark, sf_dir):
+    return workloads.knapsack(_items(spark, sf_dir), 60)
+
+
 def _pairs(spark, n: int) -> DataFrame:
     return spark.createDataFrame([(i, i + 1) for i in range(1, n, 2)], "i int, j int")
 
 
-@query("SELECT 105::BIGINT * 24 AS orders")
+def _orders_sql(n: int) -> str:
+    """Permutations built node by node."""
+    edges = ", ".join(f"({i}, {i + 1})" for i in range(1, n, 2))
+    return (
+        f"WITH RECURSIVE e(i, j) AS (VALUES {edges}), need AS (SELECT r.n, coalesce(list(e.i) FILTER (e.i IS NOT NULL), []) AS before FROM range(1, {n + 1}) r(n) LEFT JOIN e ON e.j = r.n GROUP BY r.n), "
+        f"s(placed) AS (SELECT []::BIGINT[] UNION ALL SELECT list_append(placed, need.n) FROM s, need WHERE NOT list_contains(placed, need.n) AND list_has_all(placed, before)) SELECT count(*) AS orders FROM s WHERE len(placed) = {n}"
+    )
+
+
+@query(_orders_sql(8))
 def topsorts_count(spark, sf_dir):
-    """Orders of eight nodes in four independent pairs: 8! / 2^4."""
+    """Orders of eight nodes in four independent pairs."""
     return workloads.topological_orders(_pairs(spark, 8), 8)
 
 
-@query("SELECT (720 / 8)::BIGINT AS orders")
+@query(_orders_sql(6))
 def topsorts_search(spark, sf_dir):
     return workloads.order_search(_pairs(spark, 6), 6)
 
@@ -228,19 +253,69 @@ def strassen_2level(spark, sf_dir):
     return workloads.strassen(a, b, 16, 2)
 
 
-@query("SELECT 3987::BIGINT AS nodes, 3232::BIGINT AS leaves, 5::BIGINT AS height")
-def uts_fixed(spark, sf_dir):
-    return workloads.unbalanced_tree(spark, 4.0, 5, 19)
+def _uts_sql(p: workloads.UtsParams) -> str:
+    """The same tree by recursion over hexadecimal states."""
+    u = "((('0x' || substr(st, 33, 8))::BIGINT & 2147483647) / 2147483648.0::DOUBLE)"
+    shape = {
+        "fixed": f"CASE WHEN h < {p.depth} THEN {p.b0}::DOUBLE ELSE 0 END",
+        "linear": f"{p.b0}::DOUBLE * (1 - h::DOUBLE / {p.depth})",
+        "expdec": f"{p.b0}::DOUBLE * pow(h::DOUBLE, -ln({p.b0}::DOUBLE) / ln({p.depth}::DOUBLE))",
+        "cyclic": f"CASE WHEN h > {5 * p.depth} THEN 0 ELSE pow({p.b0}::DOUBLE, sin(2 * pi() * h::DOUBLE / {p.depth})) END",
+    }[p.shape]
+    b = f"(CASE WHEN h = 0 THEN {p.b0}::DOUBLE ELSE {shape} END)"
+    geometric = f"(CASE WHEN {b} > 0 THEN least(100, floor(ln(1 - {u}) / ln(1 - 1 / (1 + {b})))) ELSE 0 END)"
+    twofold = f"(CASE WHEN {u} < {p.q}::DOUBLE THEN {p.m} ELSE 0 END)"
+    kids = {
+        workloads.GEOMETRIC: geometric,
+        workloads.BINOMIAL: f"(CASE WHEN h = 0 THEN {int(p.b0)} ELSE {twofold} END)",
+        workloads.HYBRID: f"(CASE WHEN h < {p.shift * p.depth} THEN {geometric} ELSE {twofold} END)",
+        workloads.BALANCED: f"(CASE WHEN h < {p.depth} THEN {int(p.b0)} ELSE 0 END)",
+    }[p.kind]
+    kids = f"{kids}::BIGINT"
+    root = f"sha1(unhex('{'00' * 16}{p.seed:08x}'))"
+    return f"WITH RECURSIVE t(st, h) AS (SELECT {root}, 0 UNION ALL SELECT sha1(unhex(st || printf('%08x', i))), h + 1 FROM (SELECT st, h, unnest(range({kids})) AS i FROM t)) SELECT count(*) AS nodes, count(*) FILTER ({kids} = 0) AS leaves, max(h)::BIGINT AS height FROM t"
+
+
+_TREES = {
+    "uts_fixed": workloads.UtsParams.parse("-t 1 -a 3 -d 5 -b 4 -r 19"),
+    "uts_linear": workloads.UtsParams.parse("-t 1 -a 0 -d 6 -b 4 -r 0"),
+    "uts_expdec": workloads.UtsParams.parse("-t 1 -a 1 -d 8 -b 4 -r 19"),
+    "uts_cyclic": workloads.UtsParams.parse("-t 1 -a 2 -d 5 -b 3 -r 502"),
+    "uts_binomial": workloads.UtsParams.parse("-t 0 -b 200 -q 0.2 -m 4 -r 42"),
+    "uts_hybrid": workloads.UtsParams.parse("-t 2 -a 0 -d 8 -b 4 -r 1 -q 0.2 -m 4"),
+    "uts_balanced": workloads.UtsParams.parse("-t 3 -d 6 -b 4"),
+}
+for _name, _tree in _TREES.items():
+    QUERIES[_name] = lambda spark, sf_dir, p=_tree: workloads.unbalanced_tree(spark, p)
+    ORACLE_SQL[_name] = _uts_sql(_tree)
+
+
+def _ep_sql(bits: int, seed: int = 271828183) -> str:
+    """All numbers by doubling: those after k are those up to k, times the multiplier's k-th power."""
+    powers = ", ".join(f"({j}, {pow(random.MULTIPLIER, 1 << j, random.MODULUS)}::HUGEINT)" for j in range(bits + 1))
+    first = random.lcg(seed)
+    return f"""
+WITH RECURSIVE p(j, a) AS (VALUES {powers}),
+g(j, k, x) AS (SELECT 0, 0::BIGINT, {first}::HUGEINT UNION ALL SELECT g.j + 1, CASE WHEN s = 0 THEN k ELSE k + (1::BIGINT << g.j) END, CASE WHEN s = 0 THEN x ELSE (x * a) % {random.MODULUS} END
+  FROM g JOIN p ON p.j = g.j, (VALUES (0), (1)) v(s) WHERE g.j <= {bits}),
+u AS (SELECT k, 2 * x::DOUBLE / {random.MODULUS} - 1 AS x FROM g WHERE j = {bits + 1}),
+t AS (SELECT a.x AS x, b.x AS y, a.x * a.x + b.x * b.x AS t FROM u a JOIN u b ON b.k = a.k + 1 WHERE a.k % 2 = 0),
+d AS (SELECT x * sqrt(-2 * ln(t) / t) AS x, y * sqrt(-2 * ln(t) / t) AS y FROM t WHERE t <= 1)
+SELECT round(sum(x), 6) AS sx, round(sum(y), 6) AS sy, {", ".join(f"count(*) FILTER (floor(greatest(abs(x), abs(y))) = {i}) AS q{i}" for i in range(10))} FROM d"""
+
+
+@query(_ep_sql(16))
+def ep_small(spark, sf_dir):
+    return workloads.gaussian_pairs(spark, 16).withColumn("sx", F.round("sx", 6)).withColumn("sy", F.round("sy", 6))
 
 
-@query("SELECT 1732::BIGINT AS nodes, 1050::BIGINT AS leaves, 6::BIGINT AS height")
-def uts_linear(spark, sf_dir):
-    return workloads.unbalanced_tree(spark, 4.0, 6, 0, "linear")
-
-
-@query()
-def ep_small(spark, sf_dir):
-    return workloads.gaussian_pairs(spark, 16)
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, vec_id AS id, 1::BIGINT AS visits FROM embeddings")
+def tsp_visits(spark, sf_dir):
+    """Each city's place among the ids and how often the tour visits it; places of the tour have no gap."""
+    tour = tsp_tour(spark, sf_dir)
+    n = tour.agg(F.max("pos") + 1).first()[0]
+    by = tour.where((F.col("pos") >= 0) & (F.col("pos") < n)).groupBy("id").agg(F.count_distinct("pos").alias("visits"))
+    return ranges.with_position(by, "id").select("pos", "id", "visits")
 
 
 @query()
@@ -249,10 +324,41 @@ def tsp_tour(spark, sf_dir):
     return workloads.tsp(e)
 
 
-@query("SELECT 42::BIGINT AS area")
+_DIRECT = f"WITH b AS ({_POINT}), p AS (SELECT a.id, b.mass * pow(pow(b.px - a.px, 2) + pow(b.py - a.py, 2) + pow(b.pz - a.pz, 2) + 0.05 * 0.05, -1.5) AS phi, b.px - a.px AS dx, b.py - a.py AS dy, b.pz - a.pz AS dz FROM b a, b) SELECT id, round(sum(phi * dx), 3) AS ax, round(sum(phi * dy), 3) AS ay, round(sum(phi * dz), 3) AS az FROM p GROUP BY id"
+
+
+@query(_DIRECT)
+def barnes_hut_direct(spark, sf_dir):
+    """All cells opened: the forces are the direct sums."""
+    out = workloads.accelerations(_bodies(spark, sf_dir), tol=1e-9)
+    return out.select("id", *(F.round(a, 3).alias(a) for a in ("ax", "ay", "az")))
+
+
+_PLAN = [([(2, 3), (3, 2)], 0, -1, 2), ([(2, 2), (4, 1)], 1, -1, 3), ([(5, 2), (2, 4)], 2, -1, 4), ([(4, 4), (3, 5), (8, 2)], -1, 1, 0)]
+
+
+def _floorplan_sql(cells) -> str:
+    """Every placement of every alternative, without a bound."""
+    shapes = ", ".join(f"({k + 1}, {r}, {c}, {left}, {above}, {after})" for k, (alts, left, above, after) in enumerate(cells) for r, c in alts)
+    box = "STRUCT(top BIGINT, bot BIGINT, lhs BIGINT, rhs BIGINT)"
+    edge = f"{{'top': 0, 'bot': 0, 'lhs': -1, 'rhs': -1}}::{box}"
+    of = lambda k: f"(CASE WHEN {k} = 0 THEN {edge} ELSE placed[{k}] END)"
+    return f"""
+WITH RECURSIVE a(cell, r, c, l, ab, after) AS (VALUES {shapes}),
+s(cur, placed) AS (SELECT 1, []::{box}[] UNION ALL SELECT after, list_append(placed, {{'top': top, 'bot': top + r - 1, 'lhs': lhs, 'rhs': lhs + c - 1}}::{box}) FROM (
+  SELECT *, CASE WHEN l >= 0 THEN {of("l")}.rhs + 1 ELSE p END AS lhs, CASE WHEN l >= 0 AND ab >= 0 THEN {of("ab")}.bot + 1 WHEN l >= 0 THEN p ELSE {of("ab")}.bot + 1 END AS top FROM (
+    SELECT s.placed, a.*, unnest(CASE
+      WHEN l >= 0 AND ab >= 0 THEN CASE WHEN {of("ab")}.bot + 1 <= {of("l")}.bot AND {of("ab")}.bot + 1 + r >= {of("l")}.top AND {of("l")}.rhs + 1 <= {of("ab")}.rhs AND {of("l")}.rhs + 1 + c >= {of("ab")}.lhs THEN [0::BIGINT] ELSE [] END
+      WHEN l >= 0 THEN range(greatest({of("l")}.top - r + 1, 0), least({of("l")}.bot, 64) + 1)
+      ELSE range(greatest({of("ab")}.lhs - c + 1, 0), least({of("ab")}.rhs, 64) + 1) END) AS p
+    FROM s JOIN a ON a.cell = s.cur))
+  WHERE len(list_filter(placed, lambda o: NOT (top + r - 1 < o.top OR o.bot < top OR lhs + c - 1 < o.lhs OR o.rhs < lhs))) = 0)
+SELECT min((list_max(list_transform(placed, lambda o: o.bot)) + 1) * (list_max(list_transform(placed, lambda o: o.rhs)) + 1))::BIGINT AS area FROM s WHERE cur = 0"""
+
+
+@query(_floorplan_sql(_PLAN))
 def floorplan_small(spark, sf_dir):
-    """Three cells in a row and one below: the least area by hand is 6 x 7."""
-    return workloads.floorplan(spark, [([(2, 3), (3, 2)], 0, 0), ([(2, 2)], 1, 0), ([(5, 2)], 2, 0), ([(4, 4)], 0, 1)])
+    return workloads.floorplan(spark, _PLAN)
 
 
 @query("SELECT rank::INTEGER AS rank, count(*) AS n, sum(c_custkey)::BIGINT AS total FROM (SELECT c_custkey, ntile(6) OVER (ORDER BY c_custkey) AS rank FROM customer) GROUP BY rank")

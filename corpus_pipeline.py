@@ -1,7 +1,8 @@
 """Training-data pipeline over documents: toxicity, near-dedup, repeated passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and keeps the columns of `docs` (the last returns packed pieces).  Null texts are
-treated as empty; rows with null ids are kept and count as separate documents.
+treated as empty; rows with null ids are kept and count as separate documents; an empty table passes every stage; other
+columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,30 +12,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm import packing, secrets, simhash, suffix_dedup, toxicity
-from coppice.plans.lineage import cut
+from coppice.plans.lineage import settle, written
 
 
-def _length(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """`docs` with the columns of `like`, the length following the text."""
-    if "n_chars" in like.columns:
-        docs = docs.withColumn("n_chars", F.char_length("text").cast(like.schema["n_chars"].dataType))
-    return docs.select(*like.columns)
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, __rest): all other columns under one name, so that none can clash with an operator's results."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
+    return docs.select("doc_id", "text", F.struct(*others).alias("__rest"))
+
+
+def _unwrapped(docs: DataFrame, like: DataFrame, changed: bool = False) -> DataFrame:
+    """The columns of `like`, the length following the text if that may have `changed`."""
+
+    def column(c: str) -> Column:
+        if c.lower() == "text":
+            return F.col("text").alias(c)
+        if changed and c.lower() == "n_chars":
+            return F.char_length("text").cast(like.schema[c].dataType).alias(c)
+        return F.col("__rest").getField(c).alias(c)
+
+    return docs.select(*map(column, like.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; it learns from labelled rows that aren't held out."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    rows = _wrapped(docs)
+    model = toxicity.train(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _unwrapped(toxicity.score(rows, model).where(F.col("score") < toxicity.THRESHOLD), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest id stays; repeated rows count once."""
-    marked = docs.withColumn("__text_hash", F.xxhash64("text"))
+    marked = _wrapped(docs).withColumn("__text_hash", F.xxhash64("text"))
     groups = simhash.near_components(marked.select("doc_id", "text", "__text_hash"), root=True)
     least = groups.where("doc_id = component_id").groupBy("root_fp").agg(F.min(F.struct("doc_id", "fp", "__text_hash")).alias("x"))
     first = least.select("x.doc_id", "x.__text_hash")
     one = marked.join(first, ["doc_id", "__text_hash"], "left_semi").dropDuplicates(["doc_id", "__text_hash"])
-    return one.unionByName(marked.where("doc_id is null")).select(*docs.columns)
+    return _unwrapped(one.unionByName(marked.where("doc_id is null")), docs)
 
 
 def _whole_characters(text: Column) -> Column:
@@ -47,14 +61,14 @@ def _whole_characters(text: Column) -> Column:
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by strings that start elsewhere too are cut out; what an edge leaves of a character goes as well."""
-    kept = suffix_dedup.remove_repeats(docs)
+    kept = suffix_dedup.remove_repeats(_wrapped(docs))
     text = F.col("kept").cast("string")
-    return _length(kept.withColumn("text", F.when(F.col("n_removed") > 0, _whole_characters(text)).otherwise(text)), docs)
+    return _unwrapped(kept.withColumn("text", F.when(F.col("n_removed") > 0, _whole_characters(text)).otherwise(text)), docs, True)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each secret is replaced by a mark."""
-    return _length(secrets.find_secrets(docs).withColumnRenamed("redacted", "text"), docs)
+    return _unwrapped(secrets.find_secrets(_wrapped(docs)).withColumnRenamed("redacted", "text"), docs, True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,12 +87,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), mark)  # what the stage and those before it have kept goes
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Tokens, fingerprints and scores have no SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
