@@ -19,6 +19,7 @@ from coppice.plans.lineage import scratch
 from coppice.sources import text
 from coppice.workload_queries import _MIDPOINT, ORACLE_SQL, QUERIES, _bodies, _items, _midpoint_body, _read, _runs, _whole, query
 
+_BEFORE = set(QUERIES)
 _SUM = _MIDPOINT.format(end=4095) + "SELECT sum(s)::BIGINT AS total, count(*) AS leaves FROM t WHERE s = e"
 _FIB = "WITH RECURSIVE t(n) AS (SELECT {n} UNION ALL SELECT n - k FROM t, (VALUES (1), (2)) v(k) WHERE n >= 2) "
 
@@ -484,3 +485,6 @@ def barnes_hut_step(spark, sf_dir):
         b = b.withColumn(f"v{a}", F.lit(0.0))
     out = workloads.simulate(b, 1, 0.001, tol=1e-9)
     return out.select("id", F.round("px", 6).alias("px"), F.round("vx", 4).alias("vx"))
+
+
+NAMES = set(QUERIES) - _BEFORE
