@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade, in Spark functions only.
 
 The base measures are exact counts over the whole text.  The further rules reject a text by themselves, so their order
-changes the cost but not the verdict.  On a sample (the SAMPLE texts of at most SAMPLE_BYTES bytes with the least hashes)
-the base measures are taken once and kept; a rule's cost is the time that asking it adds to a pass over them, and its
+changes the cost but not the verdict.  On a sample (distinct texts of at most SAMPLE_BYTES bytes whose hash is low enough
+for about SAMPLE of them) the base measures are taken once and kept; a rule's cost is the time that asking it adds to a pass over them, and its
 rejections are counted among the texts that the base and the rules before it let through.  Rules are asked by falling
 rejections per cost in one CASE, which stops at the first that rejects.
 
@@ -126,14 +126,16 @@ def _seconds(frame: DataFrame, rule: Column) -> float:
 def order_rules(docs: DataFrame, text_col: str = "text", rules: dict = RULES, seconds: Callable[[DataFrame, Column], float] = _seconds) -> list[str]:
     """Names of `rules` in the order in which the cascade asks them."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    few = docs.select(text.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("text"), "text").limit(SAMPLE)
+    bound = int(-(1 << 63) + (1 << 64) * min(1.0, SAMPLE / max(1, docs.count()))) - 1
+    texts = docs.select(text.alias("text")).where((F.octet_length("text") <= SAMPLE_BYTES) & (F.xxhash64("text") <= bound))
+    few = texts.groupBy(F.xxhash64("text")).agg(F.first("text").alias("text")).limit(4 * SAMPLE)  # copies count once
     parts = lambda x: F.struct(*(getattr(x, k).alias(k) for k in Text._fields))
     kept = cut(few.select(_measure(F.col("text"), parts).alias("m")).select("m.*").coalesce(1))
     x = Text(*(F.col(k) for k in Text._fields))
     fails = {k: rule(x) for k, rule in rules.items()}
     if not fails:
         return []
-    counts = kept.where(~_base_failed(x)).groupBy(*(f.alias(f"f{i}") for i, f in enumerate(fails.values()))).count().collect()  # SAMPLE rows at most
+    counts = kept.where(~_base_failed(x)).groupBy(*(f.alias(f"f{i}") for i, f in enumerate(fails.values()))).count().collect()  # bounded by the sample
     bare = max(seconds(kept, F.lit(False)), 1e-6)
     cost = {k: max(seconds(kept, f) - bare, FLOOR * bare) for k, f in fails.items()}
     return greedy_order(list(rules), cost, [(frozenset(k for k, f in zip(rules, r) if f), r["count"]) for r in counts])
