@@ -55,6 +55,16 @@ def test_candidates_lose_nothing():
     assert full == ["hex"]
 
 
+def test_scans_equal_plain_searches_for_every_rule(spark):
+    """All spans, those of the method's own rules included, against each expression on each whole text."""
+    scanner = se.Scanner()
+    texts = [t or "" for t in ODD] + [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    found = scanner.scan(texts)
+    for t, spans in zip(texts, found):
+        want = [(m.start(), k, m.end()) for k, (regex, rule) in enumerate(scanner.rules) for m in regex.finditer(t) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+        assert spans == sorted(want)
+
+
 def test_queries_of_expressions():
     assert se.trigram_query("abcd") == ("all", (b"abc", b"bcd"))
     assert se.trigram_query("abc|xyz+") == ("any", (b"abc", b"xyz"))
