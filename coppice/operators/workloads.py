@@ -145,6 +145,8 @@ def knapsack(items: DataFrame, capacity: int) -> DataFrame:
 
 def topological_orders(edges: DataFrame, n: int) -> DataFrame:
     """How many orders of nodes 1 .. n keep all edges: a level's states are the sets already placed, with their ways."""
+    if n > 62:
+        raise ValueError("sets of nodes are kept as bits of a long: at most 62 nodes")
     need = {i: 0 for i in range(1, n + 1)}
     for i, j in edges.select("i", "j").collect():  # n * n / 2 pairs at most
         need[j] |= 1 << (i - 1)
