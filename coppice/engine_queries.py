@@ -14,7 +14,7 @@ from coppice.operators.problem import Body, Problem, Serial, levels_for_tasks
 from coppice.plans import decompose, granularity, tune
 from coppice.plans.behavior import Behavior
 from coppice.plans.decompose import Decomposition, Policy
-from coppice.plans.evaluate import evaluate, evaluate_tree, replicated
+from coppice.plans.evaluate import evaluate, evaluate_test, evaluate_tree, replicated
 from coppice.plans.lineage import scratch
 from coppice.sources import text
 from coppice.workload_queries import _MIDPOINT, ORACLE_SQL, QUERIES, _bodies, _items, _midpoint_body, _read, _runs, _whole, query
@@ -367,6 +367,33 @@ def dpfor_reduce_distributed(spark, sf_dir):
     return loops.dpfor_reduce(spark, 0, 100, 4, lambda i: i, behavior=Behavior.DISTRIBUTED_OUTPUT)
 
 
+@query("SELECT i::BIGINT AS i, (i + 1)::BIGINT AS y, (i // 32)::INTEGER AS rank FROM range(0, 128) t(i)")
+def dpsfor_ranks(spark, sf_dir):
+    return loops.dpsfor(spark, 0, 128, 32, y=lambda i: i + 1)
+
+
+@query("SELECT rank::INTEGER AS rank, value FROM (SELECT max(i * 7 % 101)::BIGINT AS value FROM range(128) t(i)), range(4) r(rank)")
+def dpsfor_reduce_replicated(spark, sf_dir):
+    return loops.dpsfor_reduce(spark, 0, 128, 32, lambda i: i * 7 % 101, F.max)
+
+
+@query("SELECT chunk::INTEGER AS chunk FROM (VALUES (1), (2), (4), (8), (20)) t(chunk)")
+def dpsfor_test_chunks(spark, sf_dir):
+    return loops.dpsfor_test(spark, 0, 2000, tune.Options(largest=32), rounds=1, y=lambda i: i * 2).select("chunk")
+
+
+@query("SELECT chunk::INTEGER AS chunk FROM (VALUES (1), (2), (4), (8), (20)) t(chunk)")
+def fold_test_chunks(spark, sf_dir):
+    """The first round of the tuner for a fold: which chunk sizes it measured."""
+    return evaluate_test(_whole(spark, 511), ranges.midpoint_split(), _midpoint_body(), rounds=1).select("chunk")
+
+
+@query(_SUM)
+def fold_ranks_and_tasks(spark, sf_dir):
+    """Two ranks of four tasks each: under every rank's sub-problems as many levels are dealt out as its tasks need."""
+    return evaluate(_whole(spark, 4095), ranges.midpoint_split(), _midpoint_body(), granularity.AUTOMATIC, Behavior.BALANCE, Policy(ranks=2), tasks=8).value
+
+
 # ---- tuner and statistics -------------------------------------------------------------------------------------
 
 _SCORES = "WITH s AS (SELECT chunk, {stat}(speed) AS s FROM (SELECT (l_quantity::INTEGER) AS chunk, l_extendedprice AS speed FROM lineitem) GROUP BY chunk), f AS (SELECT chunk, round(s / (SELECT max(s) FROM s) * 1000000)::BIGINT AS score FROM s) "

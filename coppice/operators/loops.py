@@ -74,6 +74,23 @@ def dpfor_reduce(spark: SparkSession, start: int, end: int, tasks: int, body: Ca
     return value
 
 
+def dpsfor(spark: SparkSession, start: int, end: int, chunk: int, behavior: Behavior = Behavior.REPLICATED_INPUT | Behavior.DISTRIBUTED_OUTPUT, **body: Callable[[Column], Column]) -> DataFrame:
+    """`dpfor` over chunks of at most `chunk` indexes, a rank each."""
+    return dpfor(spark, start, end, chunks_of(start, end, chunk), behavior, **body)
+
+
+def dpsfor_reduce(spark: SparkSession, start: int, end: int, chunk: int, body: Callable[[Column], Column], reducer: Callable[[Column], Column] = F.sum, behavior: Behavior = Behavior.REPLICATED_INPUT | Behavior.REPLICATE_OUTPUT, neutral: Column | None = None) -> DataFrame:
+    """`dpfor_reduce` over chunks; the reducer must commute."""
+    return dpfor_reduce(spark, start, end, chunks_of(start, end, chunk), body, reducer, behavior, neutral)
+
+
+def dpsfor_test(spark: SparkSession, start: int, end: int, options: tune.Options = tune.Options(), rounds: int = 2, behavior: Behavior = Behavior.GATHER, **body: Callable[[Column], Column]) -> DataFrame:
+    """The tuner's ranked report of chunk sizes for `dpsfor` under `behavior`."""
+    unit = max(1, (end - start) // options.largest)
+    run = lambda c: dpsfor(spark, start, end, c * unit, behavior, **body).write.format("noop").mode("overwrite").save()
+    return tune.autotune(spark, run, float(end - start), options, rounds)
+
+
 def map_rows(df: DataFrame, tasks: int | None = None, **body: Column) -> DataFrame:
     """A loop over a table's rows: values beside its columns, where the rows lie (or dealt to `tasks`)."""
     return (df.repartition(tasks) if tasks else df).select("*", *(v.alias(k) for k, v in body.items()))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coppice.operators.problem import Body, Problem, levels_for_tasks
-from coppice.plans import frontier, granularity
+from coppice.plans import frontier, granularity, tune
 from coppice.plans.behavior import Behavior, all_gathers, resolve
 from coppice.plans.decompose import RANK, Decomposition, Policy
 from coppice.plans.granularity import AUTOMATIC, CUSTOM, DEPTH, SERIAL, SIMPLE, evaluate_serially
@@ -104,7 +104,7 @@ def evaluate(
     if partitioner == SIMPLE:
         rows = _levels(roots, problem, body, keep)
     else:
-        rows = granularity.contributions(roots, problem, _values(spark, problem, body, roots), partitioner, tasks, keep, prefix=VALUE)
+        rows = granularity.contributions(roots, problem, _values(spark, problem, body, roots), partitioner, tasks, keep, prefix=VALUE, each=-(-tasks // policy.ranks) if dealt else None)
     if above is not None:
         rows = rows.unionByName(above.select(*rows.columns))
     back = None
@@ -116,6 +116,17 @@ def evaluate(
     return Result(value, back, RunInfo(partitioner, tasks, policy.ranks if dealt else 1, seconds=time.perf_counter() - began))
 
 
+def evaluate_test(roots: DataFrame, problem: Problem, body: Body, options: tune.Options = tune.Options(), rounds: int = 2, unit: int = 1000, partitioner: str = AUTOMATIC, tasks: int | None = None) -> DataFrame:
+    """The tuner's ranked report of chunk sizes for a flat fold: a chunk is the number of nodes (in `unit`s) that a task
+    walks before it hands back what is open.  Every run is a whole evaluation."""
+    values = _values(roots.sparkSession, problem, body, roots)
+
+    def run(chunk: int) -> None:
+        granularity.contributions(roots, problem, values, partitioner, tasks, budget=chunk * unit, prefix=VALUE).agg(*(make(VALUE + k) for k, make in body.combine.items())).collect()
+
+    return tune.autotune(roots.sparkSession, run, 1.0, options, rounds)
+
+
 def _combined(rows: DataFrame, problem: Problem, body: Body, b: Behavior, policy: Policy, post: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     made = [make(VALUE + k).alias(k) for k, make in body.combine.items()]
     again = [make(k).alias(k) for k, make in body.combine.items()]

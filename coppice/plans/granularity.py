@@ -73,7 +73,7 @@ def finish_in_tasks(frontier: DataFrame, serial: Serial, values: T.StructType, k
     whose names are `prefix` and what the Python form calls them."""
     payload = [f for f in frontier.schema.fields if f.name not in (*keep, DEPTH, READY)]
     kept = [frontier.schema[k] for k in keep]
-    schema = T.StructType([*payload, T.StructField(DEPTH, T.LongType()), *kept, T.StructField(FINISHED, T.BooleanType()), *values.fields])
+    schema = T.StructType([*payload, T.StructField(DEPTH, T.LongType()), *kept, T.StructField(FINISHED, T.BooleanType()), *(T.StructField(v.name, v.dataType) for v in values.fields)])
     names, own = [f.name for f in schema.fields], [f.name for f in payload]
     none = dict.fromkeys(v.name for v in values.fields)
 
@@ -93,17 +93,17 @@ def finish_in_tasks(frontier: DataFrame, serial: Serial, values: T.StructType, k
     return frontier.select(*own, DEPTH, READY, *keep).mapInPandas(run, schema)
 
 
-def contributions(roots: DataFrame, problem: Problem, values: T.StructType, partitioner: str = AUTOMATIC, tasks: int | None = None, keep: tuple[str, ...] = (), budget: int = BUDGET, prefix: str = "") -> DataFrame:
+def contributions(roots: DataFrame, problem: Problem, values: T.StructType, partitioner: str = AUTOMATIC, tasks: int | None = None, keep: tuple[str, ...] = (), budget: int = BUDGET, prefix: str = "", each: int | None = None) -> DataFrame:
     """What the nodes of the trees under `roots` contribute, by the problem's Python form: (payload, DEPTH, keep, values).
 
-    `automatic` deals out as many levels as give `tasks` sub-problems, `custom` those rows for which `do_parallel` holds,
+    `automatic` deals out as many levels as give `tasks` sub-problems (or `each` under every root), `custom` those rows for which `do_parallel` holds,
     and `serial` hands the roots over as they are."""
     spark = roots.sparkSession
     tasks = tasks or spark.sparkContext.defaultParallelism
     columns = [*problem.payload, DEPTH, READY, *keep]
     frontier = roots.select(*problem.payload, *keep).withColumn(DEPTH, F.lit(0).cast("long")).withColumn(READY, F.lit(False)).select(*columns)
     todo, inner_rows = [], []
-    level, deal = 0, levels_for_tasks(problem.arity, tasks) if partitioner == AUTOMATIC else 0
+    level, deal = 0, levels_for_tasks(problem.arity, each or tasks) if partitioner == AUTOMATIC else 0
     while partitioner == CUSTOM or level < deal:
         ready = problem.pre(frontier).withColumn(READY, F.lit(True)).withColumn("__base", problem.is_base())
         ready = ready.withColumn("__go", ~F.col("__base") & (problem.do_parallel() if partitioner == CUSTOM else F.lit(True)))

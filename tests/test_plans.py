@@ -77,6 +77,14 @@ def test_walks_stop_at_their_budget():
     assert granularity.evaluate_serially({"start": 3, "end": 9}, serial) == {"total": 42, "leaves": 7}
 
 
+def test_open_nodes_have_no_values_yet(spark):
+    """Contributions that can't be null leave rows of open nodes without them."""
+    rows = evaluate(whole(spark, 500), ranges.midpoint_split(), midpoint_body(), "serial")
+    values = spark.range(1).select(F.lit(1).cast("long").alias("total"), F.lit(1).cast("long").alias("leaves")).schema
+    few = granularity.contributions(whole(spark, 500), ranges.midpoint_split(), values, "serial", budget=50)
+    assert tuple(few.agg(F.sum("total"), F.sum("leaves")).first()) == tuple(rows.value.first()) == (500 * 501 // 2, 501)
+
+
 def test_tree_of_a_table(spark):
     rows = [(1, None, 0, 1), (2, 1, 1, 10), (3, 1, 1, 20), (4, 3, 2, 300), (5, None, 0, 7)]
     nodes = spark.createDataFrame(rows, "node long, up long, depth int, v long")
