@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coppice.llm._arrow import limit_batches, other_columns
+from coppice.plans.skew import row_hash
 
 MOST_BYTES = 512 << 20
 SALTS = 16
@@ -175,8 +176,8 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, url_col: str = "url", defa
     url = F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))
     rest = F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    base = pages.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), rest.alias("url"))
-    base = base.select("rest", F.translate(F.regexp_extract("url", r"^([^/?#]*)", 1), upper, lower).alias("host"), F.regexp_extract("url", r"^[^/?#]*(/[^?#]*)?", 1).alias("path"))
+    base = pages.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.pmod(row_hash(pages, *others), F.lit(SALTS)).cast("int").alias("salt"), rest.alias("url"))
+    base = base.select("rest", "salt", F.translate(F.regexp_extract("url", r"^([^/?#]*)", 1), upper, lower).alias("host"), F.regexp_extract("url", r"^[^/?#]*(/[^?#]*)?", 1).alias("path"))
     one = rules.groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("block"))
     rule_path = F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1)
     lengths = [r[0] for r in one.select(F.char_length(rule_path)).distinct().collect()]
@@ -190,7 +191,7 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, url_col: str = "url", defa
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     hits = tries.select("host", "path", "s", F.concat("s", "p").alias("rule"), salt("host", "path")).join(one.select("rule", "block", salts), ["rule", "salt"])
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule").alias("n"), F.char_length("s").alias("h"), "rule", "block")).alias("best"))
-    out = base.withColumn("salt", F.pmod(F.xxhash64("rest"), F.lit(SALTS)).cast("int")).join(best.select("host", "path", "best", salts), ["host", "path", "salt"], "left")
+    out = base.join(best.select("host", "path", "best", salts), ["host", "path", "salt"], "left")
     verdict = F.when(F.col("best.block"), "block").when(~F.col("best.block"), "allow").otherwise(default)
     return out.select(*(F.col("rest").getField(c).alias(c) for c in others), "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
 

@@ -89,6 +89,8 @@ def test_hot_keys_are_dealt_out(spark):
     out = skew.join_hot(many, one, "k", hot)
     assert out.columns == ["k", "id", "v"] and out.count() == 2000 and out.where("v <> k * 10").isEmpty()
     assert skew.join_hot(many, one, "k", hot.limit(0)).count() == 2000
+    maps = many.withColumn("m", F.create_map(F.lit("a"), F.col("id")))
+    assert skew.join_hot(maps, one, "k", hot).count() == 2000
 
 
 def test_components_with_hubs(spark, monkeypatch):
