@@ -6,8 +6,8 @@ where all sequences with the same contents are one group with a count.  Each len
 plan has at most a few thousand groups; its slots are broadcast (rows are bounded by LENGTH, not by the data).
 
 Pieces then take slots by rank within their length.  A length may be that of a third of all pieces, so ranks are
-counted in two steps: within (length, bucket) by a window, plus the bucket's offset from a count.  A length has a bucket
-for each CELL of its pieces, which are dealt by a number of their own, whatever their ids.
+counted in two steps: within (length, bucket) by a window, plus the bucket's offset from a count.  A length's buckets grow
+with its pieces, which are dealt by a number of their own, whatever their ids.
 
 Defined cases: null text counts as empty and becomes the one id 0; repeated rows are packed as often as they occur; an
 empty table gives an empty result; other columns are not carried.
@@ -36,7 +36,8 @@ from coppice.plans.lineage import cut
 
 LENGTH = 2048
 END = 0
-CELL = 1 << 15  # pieces of a length and bucket, about: n pieces have n / CELL + LENGTH buckets at most
+CELL = 1 << 15  # pieces of a length and bucket at most, about
+SPLIT = 64  # buckets of a length that has fewer: n pieces have n / CELL + SPLIT * LENGTH buckets at most
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json as ranks
 ADDED = "byte_bpe_50k.json"  # lists the added tokens, which the ranks lack
 
@@ -170,7 +171,7 @@ def pack(parts: DataFrame, length: int = LENGTH) -> DataFrame:
     table = slots(plan(total, length))
     buckets = np.ones(length + 1, np.int64)
     for size, n in total.items():
-        buckets[size] = -(-n // CELL)
+        buckets[size] = max(-(-n // CELL), min(SPLIT, -(-n // SPLIT)))
     wide = [(int(k), int(n)) for k, n in enumerate(buckets) if n > 1]
     bucket = F.lit(0)
     if wide:
