@@ -200,7 +200,8 @@ def links(distinct: DataFrame) -> DataFrame:
     """(a long, b long): links that connect whatever distinct `fp`s connect at RADIUS bits or fewer."""
     cells = _cells(distinct)
     several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own")
-    rows = cells.join(several.select("cell", "n"), "cell")
+    # Spark guesses both sides' sizes by their source, which is some fifty times smaller: neither may be broadcast
+    rows = cells.join(several.select("cell", "n").hint("merge"), "cell")
     chunks = F.ceil(F.col("n") / CELL).cast("int")
     rows = rows.select("cell", "fp", "own", chunks.alias("chunks"), F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("chunk"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

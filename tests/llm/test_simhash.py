@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from coppice.llm import simhash as sh
 from coppice.llm.graph import components
@@ -83,3 +84,9 @@ def test_query(spark):
     check(spark.read.parquet(f"{SF}/documents.parquet"))
     q = sh.op7_simhash(spark, SF)
     assert q.columns == ["doc_id", "fingerprint", "component_id"] and {len(r.fingerprint) for r in q.collect()} == {16}
+
+
+def test_cells_are_not_broadcast(spark):
+    """A small source gives some fifty times as many rows of cells."""
+    plan = sh.links(spark.range(1000).select(F.xxhash64("id").alias("fp")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
