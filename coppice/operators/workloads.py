@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -322,7 +324,10 @@ def octants(bodies: DataFrame, depth: int) -> DataFrame:
 
 
 HALVINGS = 48  # of a cube, as many as doubles tell places apart
-FEW = 50_000  # cells of a level that are broadcast, so no task gets all bodies of a common cell
+RANGE = 1 << 14  # cells that a task descends at a time
+RANGES = 1 << 7  # of them in a task at most: some 120 MB
+BLOCK = 1 << 12  # bodies that go to a task together
+GROUP, TILE = 64, 256  # bodies and cells whose distances are taken at once
 
 
 def _cubes(rest: DataFrame) -> DataFrame:
@@ -372,34 +377,203 @@ def octree(bodies: DataFrame, step: int) -> DataFrame:
         rest = cut(rest.join(open_, "path", "left_semi"))
 
 
+def _z_order(bodies: DataFrame) -> Column:
+    """A body's place along the octree's order, to twelve halvings."""
+    box, bits = bounding_box(bodies, "px", "py", "pz").first(), []
+    side = max(box[f"max_p{a}"] - box[f"min_p{a}"] for a in "xyz") or 1.0
+    for k, a in enumerate("xyz"):
+        at = F.least(F.floor((F.col(f"p{a}") - box[f"min_p{a}"]) / side * 4096), F.lit(4095)).cast("long")
+        bits += [F.shiftleft(F.shiftright(at, d).bitwiseAND(F.lit(1)), 3 * d + 2 - k) for d in range(12)]
+    return functools.reduce(Column.bitwiseOR, bits)
+
+
+def _pack_bodies(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, x, y, z) to a row for each `size` of them: the ids, and the places as three rows of doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in _sized(batches, size):
+            xyz = np.stack([f.column(a).to_numpy() for a in "xyz"])
+            ids = f.column("id").combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([xyz.tobytes()])], names=["ids", "xyz"])
+
+    return run
+
+
+def _sized(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The rows of `batches` as tables of `size` rows; the last has the rest."""
+    kept, n = [], 0
+    for batch in batches:
+        kept.append(batch)
+        n += batch.num_rows
+        if n >= size:
+            table = pa.Table.from_batches(kept)
+            for at in range(0, n - size + 1, size):
+                yield table.slice(at, size)
+            rest = table.slice(n - n % size).combine_chunks()
+            kept, n = rest.to_batches(), rest.num_rows
+    if n:
+        yield pa.Table.from_batches(kept)
+
+
+_CELL = ("mass", "px", "py", "pz", "side")  # of a cell, as doubles
+
+
+def _pack_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells by path to a row for each RANGE of them, without what is below a place: the first cell's path, the doubles,
+    and for each cell whether it is a place, its level and its parent (its number in the range, or -1 - the parent's
+    level if it lies before the range, as only cells above the first do)."""
+    for f in _sized(batches, RANGE):
+        paths, places = f.column("path").to_pylist(), f.column("place").to_pylist()
+        keep, parents, above, last = [], [], {}, None
+        for i, (path, place) in enumerate(zip(paths, places)):
+            if last is not None and path.startswith(last):
+                continue
+            last = path if place else last
+            parents.append(above.get(path[:-1], -len(path)) if path else 0)
+            above[path] = len(keep)
+            keep.append(i)
+        data = np.stack([f.column(c).to_numpy()[keep] for c in _CELL])
+        whole = np.array([[places[i] for i in keep], [len(paths[i]) for i in keep], parents], np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([paths[0]]), pa.array([data.tobytes()]), pa.array([whole.tobytes()])], names=["first", "data", "whole"])
+
+
+class _Range:
+    """A range of cells and the cells above its first, by level."""
+
+    def __init__(self, first: str, data: bytes, whole: bytes, above: dict[str, tuple], tol: float) -> None:
+        top = [above[first[:k]] for k in range(len(first))]
+        own, (place, level, parent) = np.frombuffer(data).reshape(5, -1), np.frombuffer(whole, np.int32).reshape(3, -1)
+        n = len(top)
+        self.mass, self.px, self.py, self.pz, side = np.concatenate([np.array([t[:5] for t in top]).reshape(-1, 5).T, own], axis=1)
+        self.place = np.concatenate([np.array([t[5] for t in top], bool), place.astype(bool)])
+        self.reach = np.where(self.place, -1.0, (side / tol) ** 2)  # opened by bodies within this squared distance
+        self.above = n  # these only open or close what is below
+        self.parent = np.concatenate([np.arange(-1, n - 1), np.where(parent < 0, -1 - parent, parent + n)])
+        self.parent[:1] = -1
+        level = np.concatenate([np.arange(n), level])
+        order = np.argsort(level, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(level[order])) + 1)
+
+    def pull(self, xyz: np.ndarray, eps: float, out: np.ndarray) -> None:
+        """Adds to `out` the range's accelerations of the bodies at xyz (three rows): a level's cells whose parents any of
+        them opens are held against all of them at once, but for those that all must open as they're within reach of the
+        bodies' box."""
+        column, n = np.full(len(self.mass), -1), xyz.shape[1]
+        x, y, z = (v[:, None] for v in xyz)
+        low, high = xyz.min(axis=1), xyz.max(axis=1)
+        open_ = None  # bodies by cells of the level above: who opens what; None if all open all
+        for depth, cells in enumerate(self.levels):
+            if depth:
+                cells = cells[column[self.parent[cells]] >= 0]
+            far = sum(np.maximum((p[cells] - u) ** 2, (p[cells] - v) ** 2) for p, u, v in zip((self.px, self.py, self.pz), low, high))
+            sure = self.reach[cells] >= far
+            c = cells[sure]
+            column[c], width = np.arange(len(c)), len(c)
+            kept = [np.ones((n, len(c)), bool) if open_ is None else open_[:, column[self.parent[c]]]]
+            cells = cells[~sure]
+            for at in range(0, len(cells), TILE):
+                c = cells[at : at + TILE]
+                dx, dy, dz = self.px[c] - x, self.py[c] - y, self.pz[c] - z
+                q = dx * dx
+                q += dy * dy
+                q += dz * dz
+                acts = None  # who is pulled by what; None if all by all
+                if not self.place[c].all():
+                    opens = self.reach[c] >= q
+                    acts = ~opens
+                    if open_ is not None:
+                        opens &= open_[:, column[self.parent[c]]]
+                    some = np.flatnonzero(opens.any(axis=0))
+                    column[c[some]] = width + np.arange(len(some))
+                    width += len(some)
+                    kept.append(opens[:, some])
+                if open_ is not None:
+                    live = open_[:, column[self.parent[c]]]
+                    acts = live if acts is None else acts & live
+                if c[0] < self.above:
+                    acts = (c >= self.above) if acts is None else acts & (c >= self.above)
+                if acts is not None and not acts.any():
+                    continue
+                if eps * eps:
+                    q += eps * eps
+                else:  # a body's own place doesn't pull it
+                    acts = q > 0 if acts is None else acts & (q > 0)
+                    q[q == 0] = 1.0
+                w = np.sqrt(q)
+                w *= q
+                np.divide(self.mass[c], w, out=w)
+                if acts is not None:
+                    w *= acts
+                for k, d in enumerate((dx, dy, dz)):
+                    out[k] += np.einsum("ij,ij->i", w, d)
+            if not width:
+                return
+            open_ = np.concatenate(kept, axis=1)
+            open_ = None if open_.all() else open_
+
+
+def _pull(above: dict[str, tuple], tol: float, eps: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a block of bodies and a range of cells to the bodies' accelerations, summed over a block's successive rows."""
+
+    def done(ids: pa.Array, out: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *map(pa.array, out)], names=["id", "ax", "ay", "az"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = ids = x = out = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (block := batch.column("block")[i].as_py()) != at:
+                    if at is not None:
+                        yield done(ids, out)
+                    at, ids = block, batch.column("ids")[i].values
+                    x = np.frombuffer(batch.column("xyz")[i].as_py()).reshape(3, -1)
+                    out = np.zeros(x.shape)
+                cells = _Range(*(batch.column(c)[i].as_py() for c in ("first", "data", "whole")), above, tol)
+                for k in range(0, x.shape[1], GROUP):
+                    cells.pull(x[:, k : k + GROUP], eps, out[:, k : k + GROUP])
+        if at is not None:
+            yield done(ids, out)
+
+    return run
+
+
 def accelerations(bodies: DataFrame, tol: float = 0.5, eps: float = 0.05, depth: int = 6) -> DataFrame:
     """(id, ax, ay, az) by the opening test: a cell far enough for its size acts as one body.
 
-    The frontier holds (body, cell) pairs; each level joins the opened pairs with the cells' children, never bodies with
-    bodies.  Cells go down to single places, so near bodies always act one by one; bodies at the same place act as one,
-    and not on each other.  `depth` levels of cells are made in one pass."""
+    Blocks of near bodies meet ranges of cells, and each task descends its range from the root, so that pairs of bodies and
+    cells are in no table, however many cells `tol` opens.  Cells go down to single places, so near bodies always act one
+    by one; bodies at the same place act as one, and not on each other.  `depth` levels of cells are made in one pass."""
+    spark, axes = bodies.sparkSession, ("px", "py", "pz")
     cells = octree(bodies, depth)
-    sizes = {r["level"]: r["n"] for r in cells.groupBy(F.length("path").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each level
-    b = bodies.select("id", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"))
     root = cells.where("path = ''").first()
-    pairs = b if root is None else b.select("*", *(F.lit(root[c]).alias(c) for c in ("path", "mass", "px", "py", "pz", "place", "side")))
-    done = []
-    for level in sorted(sizes):
-        d = [F.col(p) - F.col(q) for p, q in (("px", "x"), ("py", "y"), ("pz", "z"))]
-        r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-        opened = ((F.col("side") / tol) ** 2 >= r2) & ~F.col("place")
-        phi = F.col("mass") * F.pow(r2 + eps * eps, F.lit(-1.5))
-        own = F.col("place") & (d[0] == 0) & (d[1] == 0) & (d[2] == 0)
-        pairs = cut(pairs.withColumn("opened", opened))
-        done.append(pairs.where(~F.col("opened") & ~own).select("id", *((phi * x).alias(k) for k, x in zip(("ax", "ay", "az"), d))).groupBy("id").agg(*(F.sum(k).alias(k) for k in ("ax", "ay", "az"))))
-        if level + 1 in sizes:
-            kids = cells.where(F.length("path") == level + 1).select(F.expr("substring(path, 1, length(path) - 1)").alias("up"), "path", "mass", "px", "py", "pz", "place", "side")
-            kids = F.broadcast(kids) if sizes[level + 1] <= FEW else kids
-            pairs = pairs.where("opened").select("id", "x", "y", "z", F.col("path").alias("up")).join(kids, "up").drop("up")
-    parts = done[0] if done else b.select("id", *(F.lit(0.0).alias(k) for k in ("ax", "ay", "az")))
-    for x in done[1:]:
-        parts = parts.unionByName(x)
-    total = parts.groupBy("id").agg(*(F.sum(k).alias(k) for k in ("ax", "ay", "az")))
+    if root is None:
+        return bodies.select("id", *(F.lit(0.0).alias(k) for k in ("ax", "ay", "az")))
+    # cells of no mass that is known have no centre: always opened, and of no weight
+    known = [F.coalesce("mass", F.lit(0.0)).alias("mass"), *(F.coalesce(a, F.lit(0.0)).alias(a) for a in axes), F.when(F.col("px").isNull(), float("inf")).otherwise(F.col("side")).alias("side")]
+    known = cells.select("path", *known, "place")
+    parts = max(1, cells.count() // RANGE)
+    ranges_ = cut(known.repartitionByRange(parts, "path").sortWithinPartitions("path").mapInArrow(_pack_cells, "first string, data binary, whole binary"))
+    firsts = [r["first"] for r in ranges_.select("first").collect()]  # one for each range
+    need = spark.createDataFrame([(p,) for p in sorted({f[:k] for f in firsts for k in range(len(f))})], "path string")
+    above = {r["path"]: (*(r[c] for c in _CELL), r["place"]) for r in known.join(F.broadcast(need), "path").collect()}
+
+    n, tasks = root["n"], 4 * spark.sparkContext.defaultParallelism
+    size = min(BLOCK, max(GROUP, -(-n // tasks)))
+    placed = bodies.select("id", *(F.col(a).cast("double").alias(a[1]) for a in axes), _z_order(bodies).alias("z_order")).dropna(subset=["x", "y", "z"])
+    shape = T.StructType([T.StructField("ids", T.ArrayType(bodies.schema["id"].dataType)), T.StructField("xyz", T.BinaryType())])
+    blocks = placed.repartitionByRange(-(-n // (16 * BLOCK)), "z_order").sortWithinPartitions("z_order").select("id", "x", "y", "z").mapInArrow(_pack_bodies(size), shape)
+    blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id())).repartitionByRange(max(tasks, -(-n // (4 * BLOCK))), "block")
+    few = ranges_.coalesce(-(-len(firsts) // RANGES))  # each task of the join reads so many ranges, and sums over them
+    pairs = blocks.join(few.hint("shuffle_replicate_nl"))
+    out = pairs.mapInArrow(_pull(above, tol, eps), T.StructType([bodies.schema["id"], *(T.StructField(k, T.DoubleType()) for k in ("ax", "ay", "az"))]))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 16)  # a row has a block and a range: up to 2 MB
+    try:
+        out = cut(out)
+    finally:
+        spark.conf.set(key, before)
+    total = out.groupBy("id").agg(*(F.sum(k).alias(k) for k in ("ax", "ay", "az")))
     return bodies.select("id").join(total, "id", "left").na.fill(0.0)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from coppice.functions import random as rnd
 from coppice.operators import balance, loops, ranges, workloads
 from coppice.operators.problem import levels_for_tasks
-from coppice.plans import tune
+from coppice.plans import lineage, tune
 from coppice.sources import text
 
 
@@ -107,6 +107,29 @@ def test_forces_of_places_that_the_whole_cube_cannot_part(spark):
     assert far_off(forces(spark, p, m, tol=1e-9, eps=1e-13), direct_forces(p, m, 1e-13)) < 1e-9
 
 
+def test_forces_put_no_pairs_in_tables(spark):
+    r = np.random.default_rng(5)
+    p, m = r.random((400, 3)), r.random(400) + 0.5
+    mark = lineage.written()
+    got = forces(spark, p, m, tol=1e-9)
+    assert far_off(got, direct_forces(p, m)) < 1e-9
+    assert sum(spark.read.parquet(path).count() for _, path in lineage._written[mark:]) < 20 * len(p)
+
+
+def test_forces_over_many_ranges_and_blocks(spark, monkeypatch):
+    for name, v in {"RANGE": 40, "RANGES": 4, "BLOCK": 16, "GROUP": 8, "TILE": 16}.items():
+        monkeypatch.setattr(workloads, name, v)
+    r = np.random.default_rng(6)
+    p = np.concatenate([r.random((150, 3)), 0.3 + 1e-4 * r.random((40, 3)), [[0.7, 0.1, 0.2]] * 5])
+    m = r.random(len(p)) + 0.5
+    assert far_off(forces(spark, p, m), plain_forces(p, m, 0.5)) < 1e-9
+    assert far_off(forces(spark, p, m, tol=1e-9, eps=1e-3), direct_forces(p, m, 1e-3)) < 1e-9
+    assert far_off(forces(spark, p, m, eps=0.0), plain_forces(p, m, 0.5, 1e-30)) < 1e-9
+    odd = spark.createDataFrame([("a", 1.0, 0.0, 0.0, 0.0), ("b", None, 1.0, 0.0, 0.0), (None, 2.0, 0.0, 1.0, 0.0), ("d", 1.0, None, 0.0, 0.0)], "id string, mass double, px double, py double, pz double")
+    got = {x.id: (x.ax, x.ay, x.az) for x in workloads.accelerations(odd, eps=0.0).collect()}
+    assert got.keys() == {"a", "b", None, "d"} and np.allclose(got["a"], (0, 2, 0)) and got["d"] == (0, 0, 0)
+
+
 def test_tour_visits_each_point_once(spark):
     r = np.random.default_rng(2)
     p = r.random((120, 2))
