@@ -479,12 +479,14 @@ def bodies_text(spark, sf_dir):
     b = _bodies(spark, sf_dir)
     for a in "xyz":
         b = b.withColumn(f"v{a}", F.lit(0.0))
+    b = ranges.with_position(b, "id")  # the text has no ids: they go by its order
     path, names = scratch(spark, f"bodies-{uuid.uuid4().hex}"), ("mass", "px", "py", "pz", "vx", "vy", "vz")
-    text.write_numbers(b, path, f"{b.count()} 1 0.025 0.05 0.5", *names, order="id")
+    text.write_numbers(b, path, f"{b.count()} 1 0.025 0.05 0.5", *names, order="pos")
     rows, info = text.bodies(spark, path, copies=2, jitter=0.01)
     n = int(info["n"]) // 2
-    own = b.select(F.col("id").alias("of"), F.col("px").alias("x"))
-    return rows.withColumn("of", F.col("id") % n).join(own, "of").select("id", "mass", (F.abs(F.col("px") - F.col("x")) <= 0.01).alias("near"))
+    own = b.select(F.col("pos").alias("of"), F.col("id").alias("own"), F.col("px").alias("x"))
+    placed = rows.withColumn("of", F.col("id") % n).join(own, "of")
+    return placed.select((F.col("own") + F.col("id") - F.col("of")).alias("id"), "mass", (F.abs(F.col("px") - F.col("x")) <= 0.01).alias("near"))
 
 
 @query("SELECT vec_id AS pos, embedding[1]::DOUBLE AS px FROM embeddings")

@@ -71,7 +71,7 @@ def bodies(spark: SparkSession, path: str, copies: int = 1, jitter: float = 0.0)
         n = int(head[0])
         rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("id", F.col("copy").cast("long") * n + F.col("id"))
         for a in ("px", "py", "pz"):
-            part = F.pmod(F.xxhash64("id", F.lit(a)), F.lit(1 << 20)) / float(1 << 19) - 1
+            part = (F.pmod(F.xxhash64("id", F.lit(a)), F.lit(1 << 20)) + 0.5) / float(1 << 19) - 1  # over -1, below 1
             rows = rows.withColumn(a, F.when(F.col("copy") > 0, F.col(a) + part * jitter).otherwise(F.col(a)))
         rows, info["n"] = rows.drop("copy"), float(n * copies)
     return rows, info

@@ -171,3 +171,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "b").write_text("1 2 0.1 0.2 0.5\n1 2 3 4 5 6 7")
     rows, head = text.bodies(spark, str(tmp_path / "b"))
     assert rows.count() == 1 and head["tol"] == 0.5
+
+
+def test_copies_move_by_less_than_the_jitter(spark, tmp_path):
+    (tmp_path / "b").write_text("1 2 0.1 0.2 0.5\n1 0 0 0 0 0 0")
+    rows, _ = text.bodies(spark, str(tmp_path / "b"), copies=147_120, jitter=0.01)  # the hash of 147,119 and px is 0
+    assert rows.where("abs(px) >= 0.01").count() == 0

@@ -29,6 +29,16 @@ def test_equals_sql(spark, name):
     assert rows(got.select(*(f"`{c}`" for c in columns)).collect()) == rows(want.fetchall())
 
 
+def test_bodies_text_with_gaps_between_ids(spark, tmp_path):
+    rows = [(7 * k, k % 3, [0.1 * k, 0.2, 0.3]) for k in range(9)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["bodies_text"]).fetchall()
+    got = QUERIES["bodies_text"](spark, str(tmp_path)).select("id", "mass", "near").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__
 
