@@ -18,7 +18,7 @@ from coppice.functions import random as rnd
 from coppice.operators.problem import Body, Problem, Serial, indices
 from coppice.plans import granularity
 from coppice.plans.frontier import fold, levels, tree_reduce
-from coppice.plans.lineage import cut
+from coppice.plans.lineage import cut, drop, settle, written
 
 
 def fibonacci(spark: SparkSession, n: int) -> DataFrame:
@@ -325,7 +325,7 @@ def octants(bodies: DataFrame, depth: int) -> DataFrame:
 
 HALVINGS = 48  # of a cube, as many as doubles tell places apart
 RANGE = 1 << 14  # cells that a task descends at a time
-RANGES = 1 << 7  # of them in a task at most: some 120 MB
+RANGES = 1 << 7  # of them in a pass over the bodies: some 120 MB, which each task holds
 BLOCK = 1 << 12  # bodies that go to a task together
 GROUP, TILE = 64, 256  # bodies and cells whose distances are taken at once
 
@@ -388,13 +388,14 @@ def _z_order(bodies: DataFrame) -> Column:
 
 
 def _pack_bodies(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (id, x, y, z) to a row for each `size` of them: the ids, and the places as three rows of doubles."""
+    """Rows (id, x, y, z) to a row for each `size` of them: the ids, and as three rows of doubles the places and pulls of 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in _sized(batches, size):
             xyz = np.stack([f.column(a).to_numpy() for a in "xyz"])
             ids = f.column("id").combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([xyz.tobytes()])], names=["ids", "xyz"])
+            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([xyz.tobytes()]), pa.array([bytes(xyz.nbytes)])], names=["ids", "xyz", "pulls"])
 
     return run
 
@@ -513,38 +514,50 @@ class _Range:
 
 
 def _pull(above: dict[str, tuple], tol: float, eps: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of a block of bodies and a range of cells to the bodies' accelerations, summed over a block's successive rows."""
+    """Rows of a block of bodies and a range of cells to the blocks, the ranges of a block's successive rows added to its pulls."""
+    names = ["block", "ids", "xyz", "pulls"]
 
-    def done(ids: pa.Array, out: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, *map(pa.array, out)], names=["id", "ax", "ay", "az"])
+    def done(row: pa.RecordBatch, out: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(row.column(c) for c in names[:3]), pa.array([out.tobytes()])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = ids = x = out = None
+        at = row = x = out = None
         for batch in batches:
             for i in range(batch.num_rows):
                 if (block := batch.column("block")[i].as_py()) != at:
                     if at is not None:
-                        yield done(ids, out)
-                    at, ids = block, batch.column("ids")[i].values
-                    x = np.frombuffer(batch.column("xyz")[i].as_py()).reshape(3, -1)
-                    out = np.zeros(x.shape)
+                        yield done(row, out)
+                    at, row = block, batch.slice(i, 1)
+                    x, out = (np.frombuffer(row.column(c)[0].as_py()).reshape(3, -1) for c in names[2:])
+                    out = out.copy()
                 cells = _Range(*(batch.column(c)[i].as_py() for c in ("first", "data", "whole")), above, tol)
                 for k in range(0, x.shape[1], GROUP):
                     cells.pull(x[:, k : k + GROUP], eps, out[:, k : k + GROUP])
         if at is not None:
-            yield done(ids, out)
+            yield done(row, out)
 
     return run
 
 
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks to a row for each body."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            pulls = np.frombuffer(batch.column("pulls")[i].as_py()).reshape(3, -1)
+            yield pa.RecordBatch.from_arrays([batch.column("ids")[i].values, *map(pa.array, pulls)], names=["id", "ax", "ay", "az"])
+
+
 def accelerations(bodies: DataFrame, tol: float = 0.5, eps: float = 0.05, depth: int = 6) -> DataFrame:
     """(id, ax, ay, az) by the opening test: a cell far enough for its size acts as one body.
 
     Blocks of near bodies meet ranges of cells, and each task descends its range from the root, so that pairs of bodies and
-    cells are in no table, however many cells `tol` opens.  Cells go down to single places, so near bodies always act one
+    cells are in no table, however many cells `tol` opens.  A pass takes RANGES of them and adds to the blocks' pulls, so that
+    a body is in one row however many ranges there are; files that are done with go.  Cells go down to single places, so near bodies always act one
     by one; bodies at the same place act as one, and not on each other.  `depth` levels of cells are made in one pass."""
     spark, axes = bodies.sparkSession, ("px", "py", "pz")
+    mark = written()
     cells = octree(bodies, depth)
+    made = written()
     root = cells.where("path = ''").first()
     if root is None:
         return bodies.select("id", *(F.lit(0.0).alias(k) for k in ("ax", "ay", "az")))
@@ -553,26 +566,36 @@ def accelerations(bodies: DataFrame, tol: float = 0.5, eps: float = 0.05, depth:
     known = cells.select("path", *known, "place")
     parts = max(1, cells.count() // RANGE)
     ranges_ = cut(known.repartitionByRange(parts, "path").sortWithinPartitions("path").mapInArrow(_pack_cells, "first string, data binary, whole binary"))
-    firsts = [r["first"] for r in ranges_.select("first").collect()]  # one for each range
+    firsts = sorted(r["first"] for r in ranges_.select("first").collect())  # one for each range
     need = spark.createDataFrame([(p,) for p in sorted({f[:k] for f in firsts for k in range(len(f))})], "path string")
     above = {r["path"]: (*(r[c] for c in _CELL), r["place"]) for r in known.join(F.broadcast(need), "path").collect()}
+    drop(mark, made)
 
     n, tasks = root["n"], 4 * spark.sparkContext.defaultParallelism
     size = min(BLOCK, max(GROUP, -(-n // tasks)))
     placed = bodies.select("id", *(F.col(a).cast("double").alias(a[1]) for a in axes), _z_order(bodies).alias("z_order")).dropna(subset=["x", "y", "z"])
-    shape = T.StructType([T.StructField("ids", T.ArrayType(bodies.schema["id"].dataType)), T.StructField("xyz", T.BinaryType())])
+    doubles = [T.StructField(k, T.BinaryType()) for k in ("xyz", "pulls")]
+    shape = T.StructType([T.StructField("ids", T.ArrayType(bodies.schema["id"].dataType)), *doubles])
     blocks = placed.repartitionByRange(-(-n // (16 * BLOCK)), "z_order").sortWithinPartitions("z_order").select("id", "x", "y", "z").mapInArrow(_pack_bodies(size), shape)
-    blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id())).repartitionByRange(max(tasks, -(-n // (4 * BLOCK))), "block")
-    few = ranges_.coalesce(-(-len(firsts) // RANGES))  # each task of the join reads so many ranges, and sums over them
-    pairs = blocks.join(few.hint("shuffle_replicate_nl"))
-    out = pairs.mapInArrow(_pull(above, tol, eps), T.StructType([bodies.schema["id"], *(T.StructField(k, T.DoubleType()) for k in ("ax", "ay", "az"))]))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, 16)  # a row has a block and a range: up to 2 MB
+    mark = written()
+    blocks = cut(blocks.select(F.monotonically_increasing_id().alias("block"), "*"))
+    blocks = settle(blocks.repartitionByRange(max(tasks, -(-n // (4 * BLOCK))), "block"), mark)
+    # a row has a block and a range: up to 2 MB; a file of blocks is a task's
+    held = {"spark.sql.execution.arrow.maxRecordsPerBatch": "16", "spark.sql.files.openCostInBytes": spark.conf.get("spark.sql.files.maxPartitionBytes")}
+    before = {key: spark.conf.get(key) for key in held}
+    for key, v in held.items():
+        spark.conf.set(key, v)
     try:
-        out = cut(out)
+        for at in range(0, len(firsts), RANGES):
+            some = firsts[at : at + RANGES]
+            few = ranges_.where(F.col("first").between(some[0], some[-1])).coalesce(1)
+            pairs = blocks.join(few.hint("shuffle_replicate_nl"))
+            blocks = settle(pairs.mapInArrow(_pull(above, tol, eps), blocks.schema), mark)
+        out = T.StructType([bodies.schema["id"], *(T.StructField(k, T.DoubleType()) for k in ("ax", "ay", "az"))])
+        out = settle(blocks.mapInArrow(_unpack, out), mark)
     finally:
-        spark.conf.set(key, before)
+        for key, v in before.items():
+            spark.conf.set(key, v)
     total = out.groupBy("id").agg(*(F.sum(k).alias(k) for k in ("ax", "ay", "az")))
     return bodies.select("id").join(total, "id", "left").na.fill(0.0)
 
@@ -586,9 +609,10 @@ def advance(bodies: DataFrame, acc: DataFrame, dt: float) -> DataFrame:
 
 
 def simulate(bodies: DataFrame, steps: int, dt: float, tol: float = 0.5, eps: float = 0.05) -> DataFrame:
-    """`bodies` (id, mass, positions, velocities) after `steps` leapfrog steps; each step's bodies are cut."""
+    """`bodies` (id, mass, positions, velocities) after `steps` leapfrog steps; of their files the last bodies stay."""
+    mark = written()
     for _ in range(steps):
-        bodies = cut(advance(bodies, accelerations(bodies, tol, eps), dt))
+        bodies = settle(advance(bodies, accelerations(bodies, tol, eps), dt), mark)
     return bodies
 
 

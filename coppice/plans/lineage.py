@@ -50,17 +50,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def written() -> int:
-    """How many files are kept now: a mark for `settle`."""
+    """How many files are kept now: a mark for `drop` and `settle`."""
     return len(_written)
 
 
+def drop(mark: int, end: int) -> None:
+    """Remove the files between two marks: frames that read them can't be used any more."""
+    for kept in _written[mark:end]:
+        _remove(*kept)
+    del _written[mark:end]
+
+
 def settle(df: DataFrame, mark: int) -> DataFrame:
     """`df` cut, and all files since `mark` removed but its own: frames that read them can't be used any more."""
     out = cut(df)
-    own = _written.pop()
-    while len(_written) > mark:
-        _remove(*_written.pop())
-    _written.append(own)
+    drop(mark, len(_written) - 1)
     return out
 
 

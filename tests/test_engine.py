@@ -130,6 +130,30 @@ def test_forces_over_many_ranges_and_blocks(spark, monkeypatch):
     assert got.keys() == {"a", "b", None, "d"} and np.allclose(got["a"], (0, 2, 0)) and got["d"] == (0, 0, 0)
 
 
+def test_steps_have_a_body_in_one_row_over_all_ranges(spark, monkeypatch):
+    for name, v in {"RANGE": 40, "RANGES": 2, "BLOCK": 32}.items():
+        monkeypatch.setattr(workloads, name, v)
+    rows, cut = [], lineage.cut
+
+    def counted(df):
+        rows.append((out := cut(df)).count())
+        return out
+
+    monkeypatch.setattr(lineage, "cut", counted)
+    monkeypatch.setattr(workloads, "cut", counted)
+    r = np.random.default_rng(7)
+    p, m = r.random((300, 3)), r.random(300) + 0.5
+    at, v, mark = p, np.zeros(p.shape), lineage.written()
+    bodies = spark.createDataFrame([(i, float(m[i]), *map(float, p[i]), 0.0, 0.0, 0.0) for i in range(300)], "id long, mass double, px double, py double, pz double, vx double, vy double, vz double")
+    got = workloads.simulate(bodies, 2, 0.001, tol=1e-9).orderBy("id").collect()
+    for _ in range(2):
+        v = v + 0.001 * direct_forces(at, m)
+        at = at + 0.001 * v
+    assert np.allclose([[x.px, x.py, x.pz, x.vx, x.vy, x.vz] for x in got], np.hstack([at, v]), rtol=1e-9, atol=1e-12)
+    assert max(rows) < 8 * len(p)  # the octree's cells are the most
+    assert lineage.written() == mark + 1  # the bodies after the last step
+
+
 def test_tour_visits_each_point_once(spark):
     r = np.random.default_rng(2)
     p = r.random((120, 2))
